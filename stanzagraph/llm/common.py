@@ -67,3 +67,18 @@ def with_bases(rows: DataFrame, key: str, part: str, local: str, rank: str) -> D
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(key, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     return rows.join(bases, [key, part]).withColumn(rank, F.col("__base") + F.col(local)).drop("__base")
+
+
+#: Copies of a small side's rows, so that a key with a third of all rows joins in as many tasks.
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """``big`` left-joined with ``small`` (one row a key), a key's rows dealt over SALTS tasks by ``spread``.
+
+    Null keys join null keys.
+    """
+    copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed(key, "__k")
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(copies, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__salt") == F.col("__s")), "left")
+    return joined.drop("__s", "__k", "__salt")

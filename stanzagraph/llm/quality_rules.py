@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import pick, staged
+from stanzagraph.llm.common import pick, salted_join, staged
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Shares of a host's documents, after shrinking, from which the host is refused.
 HOST_LIMIT = 0.5
-#: Copies of a host's verdict, so that a host with a third of all rows is joined in as many parts.
-SALTS = 16
 
 
 def measure(raw: bytes) -> tuple[int, int, int, int, int]:
@@ -83,9 +81,8 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = staged(measured(docs, doc_id, text, host).withColumn("base_failed", failed), "measures")
-    verdicts = host_verdicts(rows, limit).select(F.col("host").alias("h"), "refused", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(verdicts, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s")), "left")
+    verdicts = host_verdicts(rows, limit).select("host", "refused")
+    joined = salted_join(rows, verdicts, "host", ["doc_id", "n_words", "word_chars"])
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("refused", F.lit(False))).alias("kept"))
 
 

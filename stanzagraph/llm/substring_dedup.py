@@ -28,6 +28,8 @@ LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(20240229)
 LETTERS = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 M = np.uint64(0x9E3779B97F4A7C15)
+#: M to the powers 1, 2, 4 and 8: what joins hashes of so many bytes.
+POWERS = [np.uint64(pow(int(M), k, 2**64)) for k in (1, 2, 4, 8)]
 
 
 def anchored(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,17 +44,14 @@ def anchored(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.add.at(step, (ends - lens)[long], 1)
     np.add.at(step, (ends - WINDOW + 1)[long], -1)
     inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
-    powers = [M]
-    for _ in range(3):
-        powers.append(powers[-1] * powers[-1])
     firsts, counts, hashes = [], [], []
     for at in range(0, max(0, len(data) - WINDOW + 1), STRIDE):
         h1 = LETTERS[data[at : at + STRIDE + WINDOW - 1]]
-        h2 = h1[:-1] * powers[0] + h1[1:]
-        h4 = h2[:-2] * powers[1] + h2[2:]
-        h8 = h4[:-4] * powers[2] + h4[4:]
-        h16 = h8[:-8] * powers[3] + h8[8:]
-        h = h16[:-8] * powers[3] + h8[16:]
+        h2 = h1[:-1] * POWERS[0] + h1[1:]
+        h4 = h2[:-2] * POWERS[1] + h2[2:]
+        h8 = h4[:-4] * POWERS[2] + h4[4:]
+        h16 = h8[:-8] * POWERS[3] + h8[8:]
+        h = h16[:-8] * POWERS[3] + h8[16:]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
@@ -302,11 +301,12 @@ def removed(pieces: Pieces, answers: list[tuple[bytes, bytes]]) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, decode: bool = False) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in an earlier document.
 
-    Returns, for every row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left),
-    and the columns ``carry`` as they were.
+    Returns, for every row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left; with
+    ``decode`` the text left, without characters of which a part is gone), and the columns
+    ``carry`` as they were.
 
     1. Each 50-byte window has an anchor, and equal windows have equal anchors. Mappers
        list the anchors of every text; a bucket of hashes finds those of two documents.
@@ -350,13 +350,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             own = gone[at : at + n]
             lost.append(int(own.sum()))
             spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
-            kept.append(pieces.data[at : at + n][~own].tobytes() if lost[-1] else pieces.data[at : at + n].tobytes())
+            left_over = (pieces.data[at : at + n][~own] if lost[-1] else pieces.data[at : at + n]).tobytes()
+            kept.append(left_over.decode("utf-8", "ignore") if decode else left_over)
             at += n
         left = left.take(pa.array(pieces.order, pa.int64()))
-        new = [left.column("doc_id"), pa.array(pieces.lens), pa.array(lost, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+        new = [left.column("doc_id"), pa.array(pieces.lens), pa.array(lost, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if decode else pa.binary())]
         return pa.table(new + [left.column(f"carry_{i}") for i in range(len(carry))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[f"carry_{i}" for i in range(len(carry))]])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + (f", {fields}" if fields else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if decode else "binary") + (f", {fields}" if fields else "")
     out = by_block.cogroup(both.groupBy("block")).applyInArrow(finish, schema)
     return out.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry)
 
