@@ -289,7 +289,7 @@ QUERIES["regression_x"] = Query(_first_axis(Regression("V ~ parity")), _slopes)
 QUERIES["generalized_rr1"] = Query(_first_axis(Generalized("parity")), _slopes)
 QUERIES["hena_x"] = Query(_first_axis(Hena("parity")), _slopes)
 QUERIES["spherical_sph1"] = Query(_first_axis(Spherical(EDGES[0], EDGES[1])), f"{PT} SELECT user_id, round(x, 9) + 0e0 AS axis_1 FROM pt")
-QUERIES["regression2"] = Query(lambda spark, d: _points(spark, d, Regression("parity ~ V")))
+QUERIES["regression2"] = Query(lambda spark, d: _points(spark, d, Regression("parity ~ V"), spec=replace(EVENTS, codes=CODES[:4])))
 QUERIES["generalized_select2"] = Query(lambda spark, d: _points(spark, d, Generalized("parity", select2=("parity = 0", "parity = 1"))))
 
 
