@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(*[F.col(f"c{first[source]}").alias(out) for out, source in columns.items()])
 
 
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` made when this process first asked for ``key``: Python workers run many tasks."""
+    kept = sys.__dict__.setdefault("_stanzagraph_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import string
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,46 +15,96 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import pick, staged, with_bases
+from stanzagraph.llm.common import per_process, pick, staged, with_bases
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Chunks, and lower-case words, whose ids a worker remembers; later ones are encoded each time.
+REMEMBERED = 400_000
+
+
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable in Latin-1, else the next from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
 
 
 class WordTokens(dict):
     """White-space-separated chunk -> its ids as little-endian uint32 bytes.
 
     The tokenizers this serves never merge across white space, so a text's ids are its
-    chunks' ids end to end.
+    chunks' ids end to end. In those that lower-case and part letters from other signs,
+    a word of Latin letters goes straight to the merges, and signs after it are encoded
+    on their own; all else goes through the whole tokenizer.
     """
 
     #: White space to str.split() but not to the tokenizer's patterns.
     ODD = re.compile("[\x1c-\x1f]")
+    #: The steps under which words of letters may go straight to the merges.
+    STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.merges = None
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        try:
+            before = made["pre_tokenizer"]["pretokenizers"]
+            steps = [x["type"] for x in made["normalizer"]["normalizers"]], [x["type"] for x in before], before[0]["pattern"]["Regex"]
+        except (KeyError, TypeError):
+            steps = None
+        if steps == self.STEPS and made["model"]["type"] == "BPE":
+            m = made["model"]
+            pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+            self.merges = BPE(vocab=m["vocab"], merges=pairs, end_of_word_suffix=m["end_of_word_suffix"], cache_capacity=0)
+            self.letters = dict(enumerate(byte_letters()))
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters; None if it turns out to hold anything else."""
+        if word.isascii():
+            low = spelt = word.lower()
+        else:
+            low = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+            if not low.isalpha():
+                return None
+            spelt = low.encode().decode("latin-1").translate(self.letters)
+        ids = self.words.get(low)
+        if ids is None:
+            got = [t.id for t in self.merges.tokenize(spelt)]
+            ids = struct.pack(f"<{len(got)}I", *got)
+            if len(self.words) < REMEMBERED:
+                self.words[low] = ids
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = None
+        base = chunk.rstrip(string.punctuation)
+        if self.merges is not None and base.isalpha() and max(base) < "\u0250":
+            ids = self.word(base)
+            if ids is not None and len(base) < len(chunk):
+                end = chunk[len(base) :]
+                if end not in self.signs:
+                    if len(self.signs) >= REMEMBERED:
+                        self.signs.clear()
+                    self.signs[end] = self.direct(end)
+                ids += self.signs[end]
+        if ids is None:
+            ids = self.direct(chunk)
+        if len(self) < REMEMBERED:
+            self[chunk] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.direct(text)
-        chunks = text.split()
-        try:
-            return b"".join([self[c] for c in chunks])
-        except KeyError:
-            new = list({c for c in chunks if c not in self})
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(set(chunks))
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.asarray(got.ids, "<u4").tobytes()
-        return b"".join([self[c] for c in chunks])
+        return self.direct(text) if self.ODD.search(text) else b"".join(map(self.__getitem__, text.split()))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> DataFrame:
@@ -60,7 +114,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part = WordTokens(tokenizer), TaskContext.get().partitionId()
+        words, part = per_process(("words", tokenizer), lambda: WordTokens(tokenizer)), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         seen = np.zeros(max_tokens + 1, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()), ("part", pa.int32()), ("local_rank", pa.int64())])

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from stanzagraph.llm.packing import pack, packed_digest, plan_slots
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "Hello  world,\tit's 12 o'clock", "été \x1c\x1d odd", "<|endoftext|> a<|startoftext|>b", "word " * 9000, "İstanbul ΣΑΣ é", "x" * 500, "same", "same"]
+TEXTS = ["", None, "Hello  world,\tit's 12 o'clock", "été \x1c\x1d odd", "<|endoftext|> a<|startoftext|>b", "word " * 9000, "İstanbul ΣΑΣ é", "x" * 500, "same", "same", "Word, WORD. Été! ÀÇ\u0301É;; ǅungla ß ſ x<|endoftext|> isn't I'M 's' (a) a.b 3kg ªº Ω µ Ĳ ŉ \u0130x e\u0301t\u0301 naïve-ly"]
 
 
 def fits(counts, capacity):
