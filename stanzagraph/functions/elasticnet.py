@@ -45,7 +45,7 @@ def elastic_net(x: np.ndarray, y: np.ndarray, penalty: float, alpha: float = 1.0
             change = new - b[j]
             if change.any():
                 left -= np.outer(z[:, j], change)
-                most = max(most, size[j] * float((change**2).max()))
+                most = max(most, float(np.abs(change).max()))
                 b[j] = new
         if most < tolerance:
             break

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanzagraph.functions.columns import code_value, label, ordered_code_value, quoted, upper_triangle, weighted
 from stanzagraph.spec import AccumulateSpec, Edge
+from stanzagraph.streaming.folders import shared_folder
 
 #: Forward rows up to which each possible head frame is a window column of its own.
 FORWARD_FRAMES = 16
@@ -25,6 +29,16 @@ class Accumulation:
     rows: DataFrame
     counts: DataFrame
     source: DataFrame
+    kept: bool = False
+
+    def materialized(self) -> Accumulation:
+        """Write the counts to the shared folder once; a model's passes then read units, not rows."""
+        if not self.kept:
+            spark = self.counts.sparkSession
+            path = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+            self.counts.write.parquet(path)
+            self.counts, self.kept = spark.read.schema(self.counts.schema).parquet(path), True
+        return self
 
     @property
     def edge_names(self) -> list[str]:
@@ -135,7 +149,6 @@ def ordered_cells(spec: AccumulateSpec, codes: list[Column], by: list[Column]) -
 
 def _wide_forward(df: DataFrame, spec: AccumulateSpec, conv: list[str], p: int) -> DataFrame:
     """Forward windows beyond FORWARD_FRAMES: prefix sums in each conversation, vectorised."""
-    import pandas as pd
     from pyspark.sql import types as T
 
     from stanzagraph.functions.kernel import stanza_cells
@@ -218,10 +231,6 @@ def accumulate(df: DataFrame, spec: AccumulateSpec) -> Accumulation:
 
 def exact_counts(acc: Accumulation) -> DataFrame:
     """EndPoint counts whose sums are rounded once, in any partitioning; for fractional codes."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def exact(x: pd.Series) -> float:
         return math.fsum(x)
@@ -257,7 +266,7 @@ def provenance(df: DataFrame, spec: AccumulateSpec, row_id: str) -> DataFrame:
     position = F.row_number().over(w) - 1
     count = position if spec.back is None else F.least(position, F.lit(spec.back - 1))
     ids = F.array().cast("array<bigint>") if spec.back == 1 else F.collect_list(quoted(row_id)).over(w.rowsBetween(lo, -1)).cast("array<bigint>")
-    return df.select(quoted(row_id), *[quoted(c) for c in spec.conversation], label(spec.conversation, _kinds(df)).alias("horizon"), F.lag(quoted(row_id)).over(w).alias("previous"), count.cast("bigint").alias("prior_count"), ids.alias("prior_rows"))
+    return df.select(quoted(row_id), *[quoted(c) for c in spec.conversation], label(spec.conversation, _kinds(df)).alias("horizon_label"), F.lag(quoted(row_id)).over(w).alias("previous"), count.cast("bigint").alias("prior_count"), ids.alias("prior_rows"))
 
 
 def row_lag_sums(df: DataFrame, columns: list[str], size: int, partition_by: list[str], order_by: list[str]) -> DataFrame:

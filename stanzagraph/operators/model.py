@@ -142,6 +142,7 @@ def fit(acc: Accumulation, rotation=None, dimensions: int = 2, align: bool = Tru
     if isinstance(dimensions, bool) or not isinstance(dimensions, int) or dimensions < 1:
         raise ValueError("dimensions: a whole number from 1")
     names = acc.edge_names
+    acc.materialized()
     rows = acc.counts.filter(has_signal(names)) if align else acc.counts
     scaled, normed = sphere_norm(rows, names)
     m = moments(scaled, F.array(*normed), len(names))

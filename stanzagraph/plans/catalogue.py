@@ -216,7 +216,7 @@ for _name, _back, _mask in (("ordered_b1", 1, None), ("ordered_b4", 4, None), ("
 
 
 def _provenance(spark: SparkSession, d: str) -> DataFrame:
-    return provenance(inputs.events(spark, d), _ORDERED, "event_id").select("event_id", "horizon", "previous", "prior_count")
+    return provenance(inputs.events(spark, d), _ORDERED, "event_id").select("event_id", F.col("horizon_label").alias("horizon"), "previous", "prior_count")
 
 
 _OVER = "(PARTITION BY user_id ORDER BY event_id)"
