@@ -19,7 +19,7 @@ CHOICES = WINDOW - ANCHOR + 1
 PIECE = WINDOW + CHOICES - 1
 WIDTH = -(-PIECE // 8) * 8
 #: Bytes of text that are hashed at once, that a mapper gathers, and that a block holds.
-STRIDE, UNIT, BLOCK = 1 << 19, 1 << 21, 6_000_000
+STRIDE, UNIT, BLOCK = 1 << 14, 1 << 21, 6_000_000
 #: Anchors that a bucket holds.
 BUCKET = 1_500_000
 #: The id that null doc_ids have here: they come after all others.
@@ -164,8 +164,7 @@ class Pieces:
         self.size = self.count + WINDOW - 1
         rows = [self.cut(a, a + 65536) for a in range(0, len(self.first), 65536)]
         keys2 = np.concatenate([signature(r, n) for r, n in rows]) if rows else np.zeros((0, 2), np.uint64)
-        order = np.lexsort((keys2[:, 1], keys2[:, 0]))
-        new = np.r_[True, (np.diff(keys2[order], axis=0) != 0).any(axis=1)] if len(order) else np.zeros(0, bool)
+        order, new = grouped(keys2)
         #: For each piece, the number of its string among the block's different strings.
         self.string = np.empty(len(order), np.int64)
         self.string[order] = np.cumsum(new) - 1
@@ -198,6 +197,16 @@ def signature(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs together, groups in the order of the pairs, and where each group starts."""
+    order = np.argsort(keys[:, 0])
+    first, second = keys[order].T
+    if ((first[1:] == first[:-1]) & (second[1:] != second[:-1])).any():
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        first, second = keys[order].T
+    return order, np.r_[np.ones(min(1, len(order)), bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+
+
 def earliest(rows: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each window of each string, end to end: the least document that has the window.
 
@@ -254,8 +263,7 @@ def answer(table: pa.Table) -> pa.Table:
     sizes, least, several = (np.frombuffer(b"".join(t[c]), k) for c, k in (("sizes", np.uint8), ("least", np.int64), ("several", np.uint8)))
     sizes = sizes.astype(np.int64)
     keys = signature(text, sizes)
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    new = np.r_[True, (np.diff(keys[order], axis=0) != 0).any(axis=1)]
+    order, new = grouped(keys)
     starts = np.flatnonzero(new)
     string = np.empty(len(order), np.int64)
     string[order] = np.cumsum(new) - 1

@@ -76,7 +76,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - width] = rank[width:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
         rank[order] = new
         if new[-1] == n - 1:
