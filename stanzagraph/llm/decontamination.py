@@ -134,7 +134,7 @@ class Templates:
             if len({q for _, q in found}) < COVERAGE * usable:
                 continue
             found.sort()
-            best, first = None, 0
+            best, first, top = None, 0, 0.0
             places: dict[int, int] = defaultdict(int)
             for last, (p, q) in enumerate(found):
                 places[q] += 1
@@ -144,8 +144,9 @@ class Templates:
                         del places[found[first][1]]
                     first += 1
                 share = len(places) / usable
-                if share < COVERAGE or best and share <= best[0]:
+                if share < COVERAGE or share < top or share == top and best:
                     continue
+                top = share
                 values: dict[bytes, bytes] = {}
                 same = consistent = True
                 for a, b in found[first : last + 1]:
@@ -154,8 +155,7 @@ class Templates:
                             value = bare(words[a + k])
                             same &= value == slots[b + k]
                             consistent &= values.setdefault(slots[b + k], value) == value
-                if consistent:
-                    best = share, same
+                best = (share, same) if consistent else None  # the fullest stretch decides
             if best:
                 yield item, *best
 
