@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stanzagraph.llm.common import pick, staged
@@ -15,18 +15,24 @@ from stanzagraph.llm.substring_dedup import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return pick(docs, **{c: c for c in COLUMNS}).join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their host's verdict keep."""
-    return _only(docs, apply_rules(docs).filter("kept").select("doc_id"))
+    """Rows that the rules and their host's verdict keep. Null texts fail; a null doc_id changes nothing."""
+    return apply_rules(docs, carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
-    return _only(docs, near_duplicates(docs).filter("doc_id = component_id").select("doc_id"))
+    """The document with the least id of each group of near-duplicates.
+
+    A null doc_id stands behind all others: until the group is known such a row goes by a
+    number from 2^62 up that its content gives. Rows with one doc_id are one document; of
+    them the one with the least hash of its text stays.
+    """
+    content = F.xxhash64("text", "lang", "source", "n_chars")
+    late = F.lit(2**62) + content.bitwiseAND(F.lit(2**62 - 1))
+    keyed = pick(docs, **{c: c for c in COLUMNS}).withColumn("key", F.coalesce("doc_id", late))
+    first = near_duplicates(keyed, doc_id="key").filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text"), content))
+    return keyed.join(first, "key", "left_semi").withColumn("rank", rank).filter("rank = 1").select(*COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,15 +40,20 @@ def measure(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, covered
 
 
-def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+def measured(docs: DataFrame, doc_id: str, text: str, host: str, carry: list[str]) -> DataFrame:
+    """MEASURES of every row, and its columns ``carry`` as carry_0, carry_1 and so on."""
+    names = [f"carry_{i}" for i in range(len(carry))]
+    picked = pick(docs, doc_id=doc_id, host=host, text=text, **dict(zip(names, carry, strict=True))).withColumn("text", F.col("text").cast("binary"))
+    fields = "".join(f", {n} {picked.schema[n].dataType.simpleString()}" for n in names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 got = list(zip(*(measure(t or b"") for t in some.column(2).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, pa.int64()) for c in got)], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, pa.int64()) for c in got), *some.columns[3:]], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names])
 
-    return pick(docs, doc_id=doc_id, host=host, text=text).select("doc_id", "host", F.col("text").cast("binary")).mapInArrow(run, MEASURES)
+    return picked.mapInArrow(run, MEASURES + fields)
 
 
 def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -68,22 +73,24 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return hosts.join(prior).select("host", "n", "failures", shrunk.alias("shrunk_rate"), (shrunk > limit).alias("refused"))
 
 
-def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT, carry: list[str] | None = None) -> DataFrame:
     """Measure every document, judge its host, and say which documents stay.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word
     windows. kept: not base_failed and the host isn't refused (see host_verdicts).
 
     Null text counts as empty, so it fails. Null hosts are judged together. Repeated rows
-    are measured and returned each. Empty table: no rows. Extra columns are ignored.
-    Hosts' counts are summed in part before they meet, and a verdict is copied SALTS times
+    are measured and returned each. Empty table: no rows. Extra columns are ignored, but
+    for those in ``carry``, which are returned as they were. Hosts' counts are summed in part before they meet, and a verdict is copied SALTS times
     so that a hot host's documents join in as many tasks.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = staged(measured(docs, doc_id, text, host).withColumn("base_failed", failed), "measures")
+    carry = carry or []
+    rows = staged(measured(docs, doc_id, text, host, carry).withColumn("base_failed", failed), "measures")
     verdicts = host_verdicts(rows, limit).select("host", "refused")
     joined = salted_join(rows, verdicts, "host", ["doc_id", "n_words", "word_chars"])
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("refused", F.lit(False))).alias("kept"))
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("refused", F.lit(False))).alias("kept"), *[f"carry_{i}" for i in range(len(carry))])
+    return out.toDF(*out.columns[:8], *carry)
 
 
 def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
