@@ -19,8 +19,8 @@ from stanzagraph.llm.common import pick
 WIDTH, COVERAGE = 5, 0.8
 #: Literal words that a window needs; one of placeholders alone says nothing.
 LITERAL = 3
-#: Benchmark items in one pass over the documents; a larger benchmark takes more passes.
-ITEMS_EACH = 20_000
+#: Benchmark items, and bytes of their texts, in one pass over the documents on average; a larger benchmark takes more passes.
+ITEMS_EACH, BYTES_EACH = 20_000, 32_000_000
 #: Words whose codes a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -175,8 +175,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     n_items, item_id (the least leaked), coverage (its largest) and kind (verbatim or
     reparameterised, of the least item; null where nothing leaks), and columns ``carry``.
 
-    The windows of at most ITEMS_EACH items are a hash table that every task gets; a larger
-    benchmark is joined in several passes of that size.
+    The windows of about ITEMS_EACH items or BYTES_EACH bytes are a hash table that every
+    task gets; a larger benchmark is joined in several passes of that size.
 
     Null and wordless documents leak nothing; null and wordless items, and items that are
     placeholders alone, are ignored. An item with a null id counts, but names no item_id.
@@ -186,7 +186,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     carry = carry or []
     names = [f"carry_{i}" for i in range(len(carry))]
     items = pick(benchmark, item_id=item_id, text=item_text).withColumn("text", F.col("text").cast("binary"))
-    passes = max(1, -(-items.count() // ITEMS_EACH))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // ITEMS_EACH), -(-size["bytes"] // BYTES_EACH))
     out = pick(docs, doc_id=doc_id, text=text, **dict(zip(names, carry, strict=True))).withColumn("text", F.col("text").cast("binary"))
     out = out.select("doc_id", "text", *names, F.lit(0).cast("int").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("string").alias("kind"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])

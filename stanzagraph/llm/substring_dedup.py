@@ -335,7 +335,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     picked = picked.withColumn("text", F.col("text").cast("binary"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(1, -(-total // BLOCK)), max(1, -(-total // (CHOICES // 2 * BUCKET)))
-    rows = picked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # rows without an id are dealt by their texts: one hash would put them all into one block
+    rows = picked.withColumn("block", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int"))
     found = staged(shared_anchors(list_anchors(rows, buckets)), "anchors")
     by_block = rows.groupBy("block")
 

@@ -1,6 +1,8 @@
 import duckdb
 import numpy as np
+import pytest
 
+from stanzagraph.llm import decontamination
 from stanzagraph.llm.chat import format_preferences
 from stanzagraph.llm.decontamination import find_leaks
 from stanzagraph.llm.language import ByteNet, cut, identify
@@ -39,7 +41,9 @@ def test_rollup(spark, tmp_path):
     assert state() == []
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("bytes_each", [10**9, 40])
+def test_leaks(spark, monkeypatch, bytes_each):
+    monkeypatch.setattr(decontamination, "BYTES_EACH", bytes_each)
     item = "A train leaves Paris at 9 am and travels 120 km in 2 hours while Paris sleeps quietly"
     other = item.replace("Paris", "Rome").replace("120", "300")
     mixed = item.replace("Paris", "Rome", 1)

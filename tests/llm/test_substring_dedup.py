@@ -71,3 +71,13 @@ def test_test_table(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_over_many_blocks(spark, monkeypatch):
+    from stanzagraph.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", 400)
+    passage = " ".join(f"word{i * i}" for i in range(12))
+    rows = [(None, f"{i} " * 30 + (passage if i % 2 else "")) for i in range(12)] + [(7, passage), (3, "before " + passage + " after")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(remove_repeats(docs)) == brute([(d, t.encode()) for d, t in rows])
