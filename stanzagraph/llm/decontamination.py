@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ REMEMBERED = 1_000_000
 
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*(%|st|nd|rd|th)?$")
 NUMBER_UNIT = re.compile(rb"\d[\d.,]*[a-z]{1,3}$")
+PLAIN_NUMBER = re.compile(r"\d+(?:st|nd|rd|th|[a-z]{1,3})?$")
 NAME = re.compile(r"[^\W\d_][^\W\d_]*(?:['-][^\W\d_]+)*$")
 NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice double triple".split())
 UNITS = frozenset(b"mm cm m km meter meters metre metres kilometer kilometers kilometre kilometres inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph kmh watt watts volt volts joule joules newton newtons".split())
@@ -36,37 +39,96 @@ FLAGS = np.uint64(3)
 ROLLS = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def plain(text: str) -> str:
+    """``text`` in one case, its letters, marks and digits alone."""
+    form = text.upper().casefold()
+    return form if form.isalnum() else "".join(c for c in form if unicodedata.category(c)[0] in "LMN")
+
+
+def word_codes(word: bytes) -> tuple[int, int]:
+    """A word's code as part of a template and as a plain form.
+
+    The first is 62 bits of a hash or a placeholder's code, and two flags: it may be a name;
+    it ends a sentence. The second is 62 bits of the plain form's hash, and in the lowest
+    bits 1 for a number or 2 for a unit; it is 0 where no form is left.
+    """
+    bare = word.strip(PUNCTUATION)
+    low = bare.lower()
+    text = bare.decode("utf-8", "replace")
+    letters = text.isalpha()
+    form = text.upper().casefold() if letters else plain(word.decode("utf-8", "replace"))
+    lower = text.lower()
+    hashed = xxhash.xxh64_intdigest(lower.encode()) & ~3 | 16
+    other = hashed if form == lower else xxhash.xxh64_intdigest(form.encode()) & ~3 | 16 if form else 0
+    if not letters and (NUMBER.match(low) or NUMBER_UNIT.match(low)) or low in NUMBER_WORDS:
+        code = int(NUMBER_CODE)
+    elif low in UNITS:
+        code = int(UNIT_CODE)
+    else:
+        code = hashed
+        if text[:1].isupper() and not text[1:].isupper() and (letters or NAME.match(text)):
+            code |= 1
+    if word[-1:] in b".!?:" or not bare:
+        code |= 2
+    raw = low if letters and form == lower else form.encode()
+    if not letters and PLAIN_NUMBER.match(form) or raw in NUMBER_WORDS:
+        other |= 1
+    elif raw in UNITS:
+        other |= 2
+    return code, other if form else 0
+
+
 class Codes(dict):
-    """Word -> 62 bits of a hash or a placeholder's code, and two flags: it may be a name; it ends a sentence."""
+    """Word -> its code as part of a template."""
 
     def __missing__(self, word: bytes) -> int:
-        bare = word.strip(PUNCTUATION)
-        low = bare.lower()
-        text = bare.decode("utf-8", "replace")
-        if NUMBER.match(low) or NUMBER_UNIT.match(low) or low in NUMBER_WORDS:
-            code = int(NUMBER_CODE)
-        elif low in UNITS:
-            code = int(UNIT_CODE)
-        else:
-            code = xxhash.xxh64_intdigest(text.lower().encode()) & ~3 | 16
-            if text[:1].isupper() and not text[1:].isupper() and NAME.match(text):
-                code |= 1
-        if word[-1:] in b".!?:" or not bare:
-            code |= 2
+        code = word_codes(word)[0]
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = code
         return code
 
 
+class Known(dict):
+    """Word -> its place in the arrays of both codes."""
+
+    def __init__(self):
+        self.named, self.plain = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        code, other = word_codes(word)
+        at = self[word] = len(self.named)
+        self.named.append(code)
+        self.plain.append(other)
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.named, self.plain = array("Q"), array("Q")
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.named, np.uint64)[at], np.frombuffer(self.plain, np.uint64)[at]
+
+
 def template(words: list[bytes], codes: Codes) -> np.ndarray:
     """One code a word. A capitalised word is a name unless it starts a sentence."""
-    got = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    return with_names(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
+
+
+def with_names(got: np.ndarray) -> np.ndarray:
     starts = np.r_[np.uint64(2), got[:-1]] & np.uint64(2)
     name = (got & np.uint64(1) == 1) & (starts == 0)
     return np.where(name, NAME_CODE, got & ~FLAGS)
 
 
+def with_plain_forms(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One code for each word that has a plain form, and those words' places. Only numbers and units are placeholders."""
+    at = np.flatnonzero(got)
+    got = got[at]
+    kind = got & FLAGS
+    return np.where(kind == 0, got, kind * NUMBER_CODE), at
+
+
 def windows(code: np.ndarray, width: int) -> np.ndarray:
     n = len(code) - width + 1
     h = np.zeros(max(0, n), np.uint64)
@@ -81,33 +143,34 @@ def bare(word: bytes) -> bytes:
     return word.strip(PUNCTUATION).lower()
 
 
-class Templates:
-    """The benchmark's windows by hash, and what is needed to check a match."""
+class Table:
+    """Windows of one kind by hash, and what is needed to check a match."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]]):
-        codes = Codes()
+    def __init__(self):
         self.items, self.tables = [], {}
-        by_width = defaultdict(list)
-        for item_id, text in items:
-            words = (text or b"").split()
-            if not words:
-                continue
-            code = template(words, codes)
-            width = min(WIDTH, len(words))
-            literal = np.convolve(code > NAME_CODE, np.ones(width, int), "valid")
-            usable = np.flatnonzero(literal >= min(LITERAL, width))
-            if not len(usable):
-                continue
-            slots = {int(p): bare(words[p]) for p in np.flatnonzero(code <= NAME_CODE)}
-            self.items.append((item_id, len(words), width, len(usable), slots))
-            h = windows(code, width)
-            by_width[width] += [(int(h[p]), len(self.items) - 1, int(p)) for p in usable]
-        for width, rows in by_width.items():
+        self.by_width = defaultdict(list)
+
+    def add(self, item: int, code: np.ndarray, values: list[bytes]) -> None:
+        if not len(code):
+            return
+        width = min(WIDTH, len(code))
+        literal = np.convolve(code > NAME_CODE, np.ones(width, int), "valid")
+        usable = np.flatnonzero(literal >= min(LITERAL, width))
+        if not len(usable):
+            return
+        slots = {int(p): values[p] for p in np.flatnonzero(code <= NAME_CODE)}
+        self.items.append((item, len(code), width, len(usable), slots))
+        h = windows(code, width)
+        self.by_width[width] += [(int(h[p]), len(self.items) - 1, int(p)) for p in usable]
+
+    def close(self) -> None:
+        for width, rows in self.by_width.items():
             rows.sort()
             hashes = np.asarray([r[0] for r in rows], np.uint64)
             marked = np.zeros(1 << 20, bool)
             marked[hashes >> np.uint64(44)] = True
             self.tables[width] = marked, hashes, np.asarray([r[1:] for r in rows], np.int64)
+        self.by_width.clear()
 
     def matches(self, code: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Item -> (place in the text, place in the item) of each shared window."""
@@ -123,14 +186,14 @@ class Templates:
                     out[int(where[k, 0])].append((p, int(where[k, 1])))
         return out
 
-    def check(self, words: list[bytes]) -> Iterator[tuple[int, float, bool]]:
-        """(item, coverage, whether slots are all the same) of the items that the words contain.
+    def check(self, code: np.ndarray, value: Callable[[int], bytes]) -> Iterator[tuple[int, float, bool]]:
+        """(item, coverage, whether slots are all the same) of the items that a text of these codes and values contains.
 
         Windows count together if they lie within a stretch a quarter longer than the
         item. There a value of the item's slots must always stand for the same value.
         """
-        for item, found in self.matches(template(words, self.codes)).items():
-            _, n, width, usable, slots = self.items[item]
+        for item, found in self.matches(code).items():
+            own, n, width, usable, slots = self.items[item]
             if len({q for _, q in found}) < COVERAGE * usable:
                 continue
             found.sort()
@@ -152,18 +215,55 @@ class Templates:
                 for a, b in found[first : last + 1]:
                     for k in range(width):
                         if b + k in slots:
-                            value = bare(words[a + k])
-                            same &= value == slots[b + k]
-                            consistent &= values.setdefault(slots[b + k], value) == value
+                            given = value(a + k)
+                            same &= given == slots[b + k]
+                            consistent &= values.setdefault(slots[b + k], given) == given
                 best = (share, same) if consistent else None  # the fullest stretch decides
             if best:
-                yield item, *best
+                yield own, *best
+
+
+class Templates:
+    """The benchmark's windows: as templates, and in plain forms that neither case nor punctuation changes.
 
-    @property
-    def codes(self) -> Codes:
-        if "_codes" not in self.__dict__:
-            self._codes = Codes()
-        return self._codes
+    Which words are names shows only in mixed case and between sentence marks, so the plain
+    forms have no names. Of items with punctuation inside words both forms are kept: with
+    these words' parts run together, and apart.
+    """
+
+    def __init__(self, items: list[tuple[int | None, bytes | None]]):
+        self.ids, self.named, self.plain = [], Table(), Table()
+        self.known = Known()
+        for item_id, text in items:
+            words = (text or b"").split()
+            if not words:
+                continue
+            own = len(self.ids)
+            self.ids.append(item_id)
+            self.named.add(own, with_names(self.known.of(words)[0]), [bare(w) for w in words])
+            apart = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in (text or b"").decode("utf-8", "replace")).encode().split()
+            seen = set()
+            for form in (words, apart):
+                code, at = with_plain_forms(self.known.of(form)[1])
+                if code.tobytes() not in seen:
+                    seen.add(code.tobytes())
+                    self.plain.add(own, code, [plain(form[p].decode("utf-8", "replace")).encode() for p in at])
+        self.named.close()
+        self.plain.close()
+
+    def check(self, words: list[bytes]) -> Iterator[tuple[int, float, bool]]:
+        """(item, coverage, whether slots are all the same) of the items that the words contain."""
+        best: dict[int, tuple[float, bool]] = {}
+        named, forms = self.known.of(words)
+        code, at = with_plain_forms(forms)
+        for found in (
+            self.named.check(with_names(named), lambda p: bare(words[p])),
+            self.plain.check(code, lambda p: plain(words[at[p]].decode("utf-8", "replace")).encode()),
+        ):
+            for item, *got in found:
+                best[item] = max(best.get(item, (0.0, False)), tuple(got))
+        for item, got in best.items():
+            yield item, *got
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -171,7 +271,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     Numbers, names and units become typed placeholders. A document leaks an item if it has
     at least 80 % of the item's 5-word template windows close together, and each value in
-    the item's slots always stands for one value there. Returns doc_id, contaminated,
+    the item's slots always stands for one value there. Windows are compared as templates,
+    where case and sentence marks tell names, and in plain forms (one case, no punctuation,
+    only numbers and units as placeholders), so copies whose case or punctuation was changed
+    count too; names replaced in such copies are other words. Returns doc_id, contaminated,
     n_items, item_id (the least leaked), coverage (its largest) and kind (verbatim or
     reparameterised, of the least item; null where nothing leaks), and columns ``carry``.
 
@@ -207,7 +310,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                         if words:
                             n, least, share, kind = state[i]
                             for item, got, same in known.check(words):
-                                own = known.items[item][0]
+                                own = known.ids[item]
                                 n, share = n + 1, max(got, share or 0.0)
                                 if kind is None or own is not None and (least is None or own < least):
                                     least, kind = own, "verbatim" if same else "reparameterised"

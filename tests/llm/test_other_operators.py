@@ -1,3 +1,5 @@
+import string
+
 import duckdb
 import numpy as np
 import pytest
@@ -57,6 +59,26 @@ def test_leaks(spark, monkeypatch, bytes_each):
     assert find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_in_other_case_and_punctuation(spark):
+    item = "A train leaves Paris at 9 am and travels 120 km in 2 hours while Paris sleeps quietly"
+    inside = "Well-known facts. Don't ask Groß why y and o or a aren't here! Then: 3.5 km - or (so) he said; she wasn't sure."
+    made = [item, inside, "Go there. Stop here. Nobody knows. Y o a é i u. Then all went home."]
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
+    items = made + given
+    signs = str.maketrans(dict.fromkeys(string.punctuation, ""))
+    spaces = str.maketrans(dict.fromkeys(string.punctuation, " "))
+    changes = [str, str.upper, str.lower, str.title, lambda t: t.translate(signs), lambda t: t.translate(spaces), lambda t: t.translate(signs).upper(), lambda t: t.translate(spaces).lower()]
+    filler = "some other words stand here "
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for k, change in enumerate(changes):
+        docs = spark.createDataFrame([(i, filler + change(t) + " " + filler) for i, t in enumerate(items)], "doc_id long, text string")
+        missed = [r.doc_id for r in find_leaks(docs, bench).filter("not contaminated").collect()]
+        assert not missed, (k, missed)
+    docs = spark.createDataFrame([(7, item.upper()), (8, item.upper().replace("120", "300")), (9, "ALL OTHER WORDS " * 9)], "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.kind) for r in find_leaks(docs, bench.filter("item_id = 0")).collect()}
+    assert got == {7: (0, "verbatim"), 8: (0, "reparameterised"), 9: (None, None)}
+
+
 def test_quality_space(spark):
     good, bad = b"Some plain prose with many words. It goes on.", b"SPAM!! SPAM!! ### SPAM!! $$$"
     space = Space.fit(np.stack([terms(good + bytes([97 + i])) for i in range(20)] + [terms(bad * (1 + i % 3)) for i in range(20)]), np.array([1.0] * 20 + [0.0] * 20))
