@@ -143,6 +143,109 @@ def bare(word: bytes) -> bytes:
     return word.strip(PUNCTUATION).lower()
 
 
+Pairs = list[tuple[int, int]]
+
+
+def stretches(found: Pairs, length: float, least: float) -> Iterator[Pairs]:
+    """The runs of pairs (place in the text, place in the item), as long as they can be within ``length``, that have at least so many places of the item."""
+    first, places = 0, defaultdict(int)
+    for last, (p, q) in enumerate(found):
+        places[q] += 1
+        while found[first][0] < p - length:
+            places[found[first][1]] -= 1
+            if not places[found[first][1]]:
+                del places[found[first][1]]
+            first += 1
+        if len(places) >= least and (last + 1 == len(found) or found[first][0] < found[last + 1][0] - length):
+            yield found[first : last + 1]
+
+
+def whole(pairs: Pairs, width: int) -> Pairs:
+    return pairs
+
+
+def chain(pairs: Pairs, width: int) -> Pairs:
+    """The most pairs that rise in text and item; where they leave a diagonal, their windows share no word."""
+    size = 1 + max(q for _, q in pairs)
+    tree = [(0, 0, -1)] * (size + 1)  # greatest (pairs, -breaks, last pair) of the places of the item below
+    score: list[tuple[int, int, int]] = []
+    before: list[int] = []
+    on: dict[int, int] = {}
+    ready = 0
+    for i, (p, q) in enumerate(pairs):
+        while pairs[ready][0] <= p - width:
+            k = pairs[ready][1] + 1
+            while k <= size:
+                tree[k] = max(tree[k], score[ready])
+                k += k & -k
+            ready += 1
+        top, k = (0, 0, -1), q - width + 1
+        while k > 0:
+            top = max(top, tree[k])
+            k -= k & -k
+        count, breaks, back = top[0] + 1, top[1] - (top[2] >= 0), top[2]
+        same = on.get(p - q)
+        if same is not None and (score[same][0] + 1, score[same][1]) >= (count, breaks):
+            count, breaks, back = score[same][0] + 1, score[same][1], same
+        on[p - q] = i
+        score.append((count, breaks, i))
+        before.append(back)
+    at, out = max(score)[2], []
+    while at >= 0:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
+def diagonals(pairs: Pairs, width: int) -> Pairs:
+    """Pairs that give each word of the text and of the item one partner, from the longest diagonals on: parts may change places."""
+    by = defaultdict(list)
+    for p, q in pairs:
+        by[p - q].append((p, q))
+    to: dict[int, int] = {}
+    back: dict[int, int] = {}
+    out = []
+    for d in sorted(by, key=lambda d: (-len(by[d]), d)):
+        for p, q in by[d]:
+            if all(to.get(p + k, q + k) == q + k and back.get(q + k, p + k) == p + k for k in range(width)):
+                to.update((p + k, q + k) for k in range(width))
+                back.update((q + k, p + k) for k in range(width))
+                out.append((p, q))
+    return sorted(out)
+
+
+def consistent(pairs: Pairs, width: int, slots: dict[int, bytes], value: Callable[[int], bytes]) -> Iterator[tuple[int, bool]]:
+    """(places of the item, whether values are all the same) of the runs of pairs in which each value of the slots stands for one."""
+    places: dict[int, int] = defaultdict(int)
+    given: dict[bytes, dict[bytes, int]] = defaultdict(dict)
+    first, several, other, most = 0, 0, 0, (0, False)
+
+    def put(pair: tuple[int, int], by: int) -> None:
+        nonlocal several, other
+        p, q = pair
+        places[q] += by
+        if not places[q]:
+            del places[q]
+        for k in range(width):
+            if (slot := slots.get(q + k)) is not None:
+                new, held = value(p + k), given[slot]
+                old = len(held)
+                held[new] = held.get(new, 0) + by
+                if not held[new]:
+                    del held[new]
+                several += (len(held) > 1) - (old > 1)
+                other += by * (new != slot)
+
+    for pair in pairs:
+        put(pair, 1)
+        while several:
+            put(pairs[first], -1)
+            first += 1
+        if (len(places), not other) > most:
+            most = len(places), not other
+            yield most
+
+
 class Table:
     """Windows of one kind by hash, and what is needed to check a match."""
 
@@ -190,35 +293,28 @@ class Table:
         """(item, coverage, whether slots are all the same) of the items that a text of these codes and values contains.
 
         Windows count together if they lie within a stretch a quarter longer than the
-        item. There a value of the item's slots must always stand for the same value.
+        item. There a value of the item's slots must always stand for the same value: over
+        all pairs of windows, or over one alignment of them, as far as it takes for all
+        their places of the item. Any stretch where this holds will do.
         """
         for item, found in self.matches(code).items():
             own, n, width, usable, slots = self.items[item]
             if len({q for _, q in found}) < COVERAGE * usable:
                 continue
             found.sort()
-            best, first, top = None, 0, 0.0
-            places: dict[int, int] = defaultdict(int)
-            for last, (p, q) in enumerate(found):
-                places[q] += 1
-                while found[first][0] < p - 1.25 * n:
-                    places[found[first][1]] -= 1
-                    if not places[found[first][1]]:
-                        del places[found[first][1]]
-                    first += 1
-                share = len(places) / usable
-                if share < COVERAGE or share < top or share == top and best:
-                    continue
-                top = share
-                values: dict[bytes, bytes] = {}
-                same = consistent = True
-                for a, b in found[first : last + 1]:
-                    for k in range(width):
-                        if b + k in slots:
-                            given = value(a + k)
-                            same &= given == slots[b + k]
-                            consistent &= values.setdefault(slots[b + k], given) == given
-                best = (share, same) if consistent else None  # the fullest stretch decides
+            best = None
+            for stretch in stretches(found, 1.25 * n, COVERAGE * usable):
+                for align in (whole, chain, diagonals) if slots else (whole,):
+                    if best == (1.0, True):
+                        break
+                    pairs = align(stretch, width)
+                    full = len({q for _, q in pairs})
+                    share = full / usable
+                    if share < COVERAGE or best and (share, True) <= best:
+                        continue
+                    for count, same in consistent(pairs, width, slots, value):
+                        if count == full and (best is None or (share, same) > best):
+                            best = share, same
             if best:
                 yield own, *best
 
@@ -271,7 +367,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     Numbers, names and units become typed placeholders. A document leaks an item if it has
     at least 80 % of the item's 5-word template windows close together, and each value in
-    the item's slots always stands for one value there. Windows are compared as templates,
+    the item's slots always stands for one value there, where each place of the document
+    goes with one place of the item. Windows are compared as templates,
     where case and sentence marks tell names, and in plain forms (one case, no punctuation,
     only numbers and units as placeholders), so copies whose case or punctuation was changed
     count too; names replaced in such copies are other words. Returns doc_id, contaminated,

@@ -79,6 +79,43 @@ def test_leaks_in_other_case_and_punctuation(spark):
     assert got == {7: (0, "verbatim"), 8: (0, "reparameterised"), 9: (None, None)}
 
 
+def test_leaks_of_items_with_repeated_windows(spark):
+    item = "In a box there are 3 red balls and on the table there are 4 red balls, so how many red balls are there in all?"
+    first, second = "On the big table there are 3 red balls in a box.", "On the big table there are 4 red balls in a box."
+    texts = [
+        item,
+        item.replace("4", "9"),
+        item.replace("3", "8").replace("4", "9"),
+        "There are 7 red balls and on the table. " + item,
+        f"{first} Well now. {second}".replace("3", "5"),
+        f"{second} {first}",
+        "In a box there are 3 red balls and then on another day they went out.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [r.kind for r in find_leaks(docs, bench).orderBy("doc_id").collect()]
+    assert got == ["verbatim", "reparameterised", "reparameterised", "verbatim", None, None, None]
+    bench = spark.createDataFrame([(1, f"{first} {second}")], "item_id long, text string")
+    got = [r.kind for r in find_leaks(docs, bench).orderBy("doc_id").collect()]
+    assert got[:4] == [None] * 4 and got[6] is None
+    twice = "Tom has 3 red balls in a box and Ann has 3 red balls in a bag."
+    bench = spark.createDataFrame([(1, twice)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, twice.replace("3", "5")), (1, twice.replace("3", "5", 1))], "doc_id long, text string")
+    assert [r.contaminated for r in find_leaks(docs, bench).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_chain_takes_the_most_windows_in_order():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pairs = sorted({(int(p), int(q)) for p, q in rng.integers(0, 9, (10, 2))})
+        follows = lambda a, b: b[0] > a[0] and (b[0] - a[0] == b[1] - a[1] or b[0] >= a[0] + 2 and b[1] >= a[1] + 2)
+        best = [1] * len(pairs)
+        for i, b in enumerate(pairs):
+            best[i] = 1 + max((best[j] for j, a in enumerate(pairs[:i]) if follows(a, b)), default=0)
+        got = decontamination.chain(pairs, 2)
+        assert len(got) == max(best) and all(follows(a, b) for a, b in zip(got, got[1:], strict=False))
+
+
 def test_quality_space(spark):
     good, bad = b"Some plain prose with many words. It goes on.", b"SPAM!! SPAM!! ### SPAM!! $$$"
     space = Space.fit(np.stack([terms(good + bytes([97 + i])) for i in range(20)] + [terms(bad * (1 + i % 3)) for i in range(20)]), np.array([1.0] * 20 + [0.0] * 20))
