@@ -55,6 +55,18 @@ def test_statistics(toy, fitted):
     assert stats.ena_stats(points, model.centroids(acc.counts), [1, 2], "grp")["SVD1"]["cohens_d"] == pytest.approx(1.325104193491)
 
 
+def test_rank_correlation_of_more_units_than_the_driver_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 9, 70) / 4, rng.normal(size=70)
+    points = spark.createDataFrame([(f"u{i}", i, float(a)) for i, a in enumerate(x)], "ENA_UNIT string, o long, d double")
+    centroids = spark.createDataFrame([(f"u{i}", float(b + a)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "unit string, d double")
+    want = stats.correlations(points, centroids, ["d"], order="o")
+    monkeypatch.setattr(stats, "PAIRS_ON_DRIVER", 69)
+    got = stats.correlations(points, centroids, ["d"], order="o")
+    assert 0 < want[0]["spearman"] < 1 and got[0]["spearman"] == pytest.approx(want[0]["spearman"], abs=1e-12)
+    assert got[0]["spearman_interval"] == pytest.approx(want[0]["spearman_interval"], abs=1e-12)
+
+
 def test_pairwise_pearson():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(2, 50))
