@@ -143,6 +143,13 @@ def bare(word: bytes) -> bytes:
     return word.strip(PUNCTUATION).lower()
 
 
+def scarce(code: np.ndarray) -> bool:
+    """Whether some window has too few literal words, but not all words are placeholders."""
+    width = min(WIDTH, len(code))
+    literal = code > NAME_CODE
+    return bool(literal.any() and np.convolve(literal, np.ones(width, int), "valid").min() < min(LITERAL, width))
+
+
 Pairs = list[tuple[int, int]]
 
 
@@ -324,11 +331,12 @@ class Templates:
 
     Which words are names shows only in mixed case and between sentence marks, so the plain
     forms have no names. Of items with punctuation inside words both forms are kept: with
-    these words' parts run together, and apart.
+    these words' parts run together, and apart. Items with windows of too few literal words
+    are kept by their exact plain forms as well, unless they are numbers and units alone.
     """
 
     def __init__(self, items: list[tuple[int | None, bytes | None]]):
-        self.ids, self.named, self.plain = [], Table(), Table()
+        self.ids, self.named, self.plain, self.exact = [], Table(), Table(), Table()
         self.known = Known()
         for item_id, text in items:
             words = (text or b"").split()
@@ -340,12 +348,15 @@ class Templates:
             apart = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in (text or b"").decode("utf-8", "replace")).encode().split()
             seen = set()
             for form in (words, apart):
-                code, at = with_plain_forms(self.known.of(form)[1])
+                got = self.known.of(form)[1]
+                code, at = with_plain_forms(got)
                 if code.tobytes() not in seen:
                     seen.add(code.tobytes())
                     self.plain.add(own, code, [plain(form[p].decode("utf-8", "replace")).encode() for p in at])
-        self.named.close()
-        self.plain.close()
+                    if scarce(code):
+                        self.exact.add(own, got[at], [])
+        for table in (self.named, self.plain, self.exact):
+            table.close()
 
     def check(self, words: list[bytes]) -> Iterator[tuple[int, float, bool]]:
         """(item, coverage, whether slots are all the same) of the items that the words contain."""
@@ -355,6 +366,7 @@ class Templates:
         for found in (
             self.named.check(with_names(named), lambda p: bare(words[p])),
             self.plain.check(code, lambda p: plain(words[at[p]].decode("utf-8", "replace")).encode()),
+            self.exact.check(forms[at], lambda p: b"") if self.exact.items else (),
         ):
             for item, *got in found:
                 best[item] = max(best.get(item, (0.0, False)), tuple(got))
@@ -378,8 +390,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     The windows of about ITEMS_EACH items or BYTES_EACH bytes are a hash table that every
     task gets; a larger benchmark is joined in several passes of that size.
 
-    Null and wordless documents leak nothing; null and wordless items, and items that are
-    placeholders alone, are ignored. An item with a null id counts, but names no item_id.
+    Null and wordless documents leak nothing; null and wordless items, and items of
+    numbers and units alone, are ignored. A template window needs LITERAL literal words;
+    items with other windows also count where 80 % of all their windows stand word for word. An item with a null id counts, but names no item_id.
     Items of under 5 words are one window. Repeated rows: each returned. Empty documents:
     no rows. Empty benchmark: nothing leaks. Extra columns are ignored unless carried.
     """

@@ -104,6 +104,14 @@ def test_leaks_of_items_with_repeated_windows(spark):
     assert [r.contaminated for r in find_leaks(docs, bench).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_leaks_of_items_with_few_literal_words(spark):
+    items = ["Is 17 prime?", "Paris 5 km Rome 7 km Oslo 9 km", "5 6 7 8 9", "2 km"]
+    texts = [*(f"Some words. {t} Other words." for t in items), "Is 19 prime?", "Paris 6 km Rome 8 km Oslo 10 km", "IS 17 PRIME"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = find_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.item_id, r.kind) for r in got] == [(0, "verbatim"), (1, "verbatim"), (None, None), (None, None), (None, None), (None, None), (0, "verbatim")]
+
+
 def test_chain_takes_the_most_windows_in_order():
     rng = np.random.default_rng(3)
     for _ in range(200):
