@@ -33,5 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == known:
             break
         known = state
+    else:
+        raise RuntimeError(f"components are not stars after {MOST_ROUNDS} rounds")
     roots = now.select("u").distinct()
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots.select("u", "u"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from stanzagraph.llm import graph
 from stanzagraph.llm.graph import components
 from stanzagraph.llm.simhash import blocks, fingerprint, near_duplicates, similar, trie_links
 
@@ -90,3 +91,10 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.components(edges)
