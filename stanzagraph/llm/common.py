@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,56 @@ def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+#: Rows and bytes of text that a worker turns into Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and, beyond one row, about ``size`` bytes of column ``text``."""
+    for batch in batches:
+        at, column = 0, batch.column(text)
+        lengths = [0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()]
+        while at < batch.num_rows:
+            end, held = at, 0
+            while end < batch.num_rows and end - at < rows and (end == at or held + lengths[end] <= size):
+                held += lengths[end]
+                end += 1
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers live on beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
+class Bounded(dict):
+    """Values by short keys, at most ``most`` bytes of both with what Python needs for them; full, it starts anew."""
+
+    #: Longer keys are seldom met again, and aren't kept.
+    LONGEST = 64
+    #: What an entry takes besides its key and value: two objects' heads and a place in the table.
+    ENTRY = 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key: str | bytes, value: Any, size: int) -> None:
+        if len(key) > self.LONGEST:
+            return
+        self.held += len(key) + size + self.ENTRY
+        if self.held > self.most:
+            self.clear()
+            self.held = len(key) + size + self.ENTRY
+        self[key] = value
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import per_process, pick, staged, with_bases
+from stanzagraph.llm.common import Bounded, give_back, per_process, pick, slices, staged, with_bases
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Chunks, and lower-case words, whose ids a worker remembers; later ones are encoded each time.
-REMEMBERED = 400_000
+#: Bytes that a worker's ids of chunks, and of lower-case words, may take; freed with the task.
+REMEMBERED = 24 << 20
 
 
 def byte_letters() -> str:
@@ -30,7 +30,7 @@ def byte_letters() -> str:
     return "".join(chr(b if b in printable else next(others)) for b in range(256))
 
 
-class WordTokens(dict):
+class WordTokens:
     """White-space-separated chunk -> its ids as little-endian uint32 bytes.
 
     The tokenizers this serves never merge across white space, so a text's ids are its
@@ -49,8 +49,7 @@ class WordTokens(dict):
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
+        self.chunks, self.words, self.signs = Bounded(REMEMBERED), Bounded(REMEMBERED), Bounded(REMEMBERED // 8)
         self.merges = None
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -81,30 +80,38 @@ class WordTokens(dict):
         if ids is None:
             got = [t.id for t in self.merges.tokenize(spelt)]
             ids = struct.pack(f"<{len(got)}I", *got)
-            if len(self.words) < REMEMBERED:
-                self.words[low] = ids
+            self.words.keep(low, ids, len(ids))
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
         ids = None
         base = chunk.rstrip(string.punctuation)
         if self.merges is not None and base.isalpha() and max(base) < "\u0250":
             ids = self.word(base)
             if ids is not None and len(base) < len(chunk):
                 end = chunk[len(base) :]
-                if end not in self.signs:
-                    if len(self.signs) >= REMEMBERED:
-                        self.signs.clear()
-                    self.signs[end] = self.direct(end)
-                ids += self.signs[end]
+                tail = self.signs.get(end)
+                if tail is None:
+                    tail = self.direct(end)
+                    self.signs.keep(end, tail, len(tail))
+                ids += tail
         if ids is None:
             ids = self.direct(chunk)
-        if len(self) < REMEMBERED:
-            self[chunk] = ids
+        self.chunks.keep(chunk, ids, len(ids))
         return ids
 
     def encode(self, text: str) -> bytes:
-        return self.direct(text) if self.ODD.search(text) else b"".join(map(self.__getitem__, text.split()))
+        if self.ODD.search(text):
+            return self.direct(text)
+        known, chunk = self.chunks.get, self.chunk
+        return b"".join([known(c) or chunk(c) for c in text.split()])
+
+    def forget(self) -> None:
+        """Free what was remembered; the tokenizer stays."""
+        for kept in (self.chunks, self.words, self.signs):
+            kept.clear()
+            kept.held = 0
+        give_back()
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> DataFrame:
@@ -118,18 +125,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: in
         end = np.asarray([end_id], "<u4").tobytes()
         seen = np.zeros(max_tokens + 1, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()), ("part", pa.int32()), ("local_rank", pa.int64())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                rows: list[tuple] = []
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    ids = words.encode((text or b"").decode("utf-8", "replace")) + end
-                    for piece, start in enumerate(range(0, len(ids) // 4, max_tokens)):
-                        own = ids[4 * start : 4 * (start + max_tokens)]
-                        n = len(own) // 4
-                        rows.append((doc_id, piece, start, n, own, part, int(seen[n])))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        for some in slices(batches, 1):
+            rows: list[tuple] = []
+            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                ids = words.encode((text or b"").decode("utf-8", "replace")) + end
+                for piece, start in enumerate(range(0, len(ids) // 4, max_tokens)):
+                    own = ids[4 * start : 4 * (start + max_tokens)]
+                    n = len(own) // 4
+                    rows.append((doc_id, piece, start, n, own, part, int(seen[n])))
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        words.forget()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, PIECES)
 
@@ -191,6 +197,8 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int =
     a plan of a few rows a length; a piece finds its slot by its rank within its length.
 
     Null or empty text: one piece with only ``end_id``. Null doc_id: packed like others.
+    Very long text: tokenized whole by one task, cut into pieces. Ties: pieces of one length
+    are interchangeable to the plan; which takes which slot follows the tasks' order.
     Repeated rows: each is packed. Empty table: no rows. Extra columns are ignored.
     """
     pieces = staged(tokenize_pieces(pick(docs, doc_id=doc_id, text=text), tokenizer, max_tokens, end_id), "pieces")
