@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import pick, staged
+from stanzagraph.llm.common import give_back, pick, slices, staged
 from stanzagraph.llm.suffix_arrays import permuted_lcp, suffix_array
 
 #: Bytes of the strings that are looked for, of the anchors inside them, and of anchors to choose from.
@@ -18,13 +20,16 @@ CHOICES = WINDOW - ANCHOR + 1
 #: A piece has at most CHOICES windows, so at most so many bytes; kept in rows of whole words.
 PIECE = WINDOW + CHOICES - 1
 WIDTH = -(-PIECE // 8) * 8
-#: Bytes of text that are hashed at once, that a mapper gathers, and that a block holds.
-STRIDE, UNIT, BLOCK = 1 << 14, 1 << 21, 6_000_000
+#: Bytes of text that are hashed at once, that a mapper gathers, that a block holds, and that come to a shard on average.
+STRIDE, UNIT, BLOCK, SHARD = 1 << 14, 1 << 23, 4_000_000, 1_500_000
 #: Anchors that a bucket holds.
 BUCKET = 1_500_000
 #: The id that null doc_ids have here: they come after all others.
 LAST = np.iinfo(np.int64).max
 
+#: Strings whose bytes are cut out at once.
+AT_ONCE = 1 << 15
+
 _rng = np.random.default_rng(20240229)
 LETTERS = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -79,92 +84,143 @@ def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as compressed differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)).tobytes())
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unpacked(data), np.uint64))
+
+
+def anchor_keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of an anchor's hash above its lower half."""
+    return (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+#: The block of an anchor that nobody asks about: its unit knows already that documents share it.
+NOBODY = -1
+
+
 def list_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """For each mapper's unit of text and bucket of hashes: which anchors occur in which block."""
+    """Which anchors occur in which blocks, by cell, from each mapper's unit of text.
+
+    Cell b from 0 on is a bucket of hashes: it gets an anchor that one document of the unit
+    has with that document's block, and one that several have once, for NOBODY. What
+    several have is shared for certain: these blocks are told through a cell below 0, dealt
+    by unit. So a bucket gets an anchor at most once a unit, however many documents have it.
+    """
+
+    def rows(cell: np.ndarray, key: np.ndarray, block: np.ndarray) -> list[tuple]:
+        order = np.lexsort((key, block, cell))
+        cell, key, block = cell[order], key[order], block[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else np.zeros(1, np.int64)
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ids, counts = np.unique(block[a:b], return_counts=True)
+            keys = key[a:b] if cell[a] < 0 else key[a:b].astype(np.uint32)
+            out.append((int(cell[a]), packed(keys.tobytes()) if cell[a] < 0 else keys.tobytes(), ids.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+        return out
 
-    def flush(blocks: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def flush(blocks: list[int], texts: list[bytes], teller: int) -> Iterator[pa.RecordBatch]:
         data, lens = joined(texts)
         first, _, h = anchored(data, lens)
         if not len(h):
             return
-        doc = np.searchsorted(np.cumsum(lens), first, "right")
-        block, bucket = np.asarray(blocks, np.int32)[doc], (h >> np.uint64(32)) % np.uint64(buckets)
-        order = np.lexsort((doc, h, block, bucket))
-        doc, h, block, bucket = doc[order], h[order], block[order], bucket[order]
-        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])])
-        many = doc[new] != doc[np.r_[new[1:], len(doc)] - 1]
-        h, block, bucket = h[new].astype(np.uint32), block[new], bucket[new]
-        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            ids, counts = np.unique(block[a:b], return_counts=True)
-            rows.append((int(bucket[a]), h[a:b].tobytes(), np.packbits(many[a:b]).tobytes(), ids.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "hashes", "many", "blocks", "counts"])
+        doc, key = np.searchsorted(np.cumsum(lens), first, "right"), anchor_keys(h, buckets)
+        order = np.lexsort((doc, key))
+        doc, key = doc[order], key[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+        doc, key = doc[new], key[new]
+        block = np.asarray(blocks, np.int64)[doc]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        several = np.diff(np.r_[starts, len(key)]) > 1
+        known = np.repeat(several, np.diff(np.r_[starts, len(key)]))
+        bucket = (key >> np.uint64(32)).astype(np.int64)
+        said = starts[several]
+        asked = np.flatnonzero(~known)
+        out = rows(np.r_[bucket[asked], bucket[said]], np.r_[key[asked], key[said]], np.r_[block[asked], np.full(len(said), NOBODY)])
+        told = np.unique(np.stack([block[known].astype(np.uint64), key[known]]), axis=1) if known.any() else np.zeros((2, 0), np.uint64)
+        out += rows(np.full(told.shape[1], -1 - teller), told[1], told[0].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["cell", "keys", "blocks", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, texts, size = [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for block, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    blocks.append(block)
-                    texts.append(text)
-                    size += len(text or b"")
-                    if size >= UNIT:
-                        yield from flush(blocks, texts)
-                        blocks, texts, size = [], [], 0
-        yield from flush(blocks, texts)
-
-    return docs.select("block", "text").mapInArrow(run, "bucket int, hashes binary, many binary, blocks binary, counts binary")
+        blocks, texts, size, unit = [], [], 0, 0
+        teller = lambda: (TaskContext.get().partitionId() * 31 + unit) % buckets
+        for some in slices(batches, 1):
+            blocks += some.column(0).to_pylist()
+            texts += some.column(1).to_pylist()
+            size += sum(len(t or b"") for t in texts[-some.num_rows :])
+            if size >= UNIT:
+                yield from flush(blocks, texts, teller())
+                blocks, texts, size, unit = [], [], 0, unit + 1
+        yield from flush(blocks, texts, teller())
+        blocks = texts = None
+        give_back()
+
+    return docs.select("block", "text").mapInArrow(run, "cell long, keys binary, blocks binary, counts binary")
 
 
 def shared_anchors(listed: DataFrame) -> DataFrame:
-    """(block, bucket, hashes): the anchors of each block that two documents or more have."""
+    """(block, keys): the anchors of each block that two documents or more have, in any number of rows a block."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["hashes"]])
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y) // 4) for x, y in zip(rows["many"], rows["hashes"], strict=True)]).view(bool)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows, cell = table.select(["keys", "blocks", "counts"]).to_pydict(), key[0].as_py()
         block = np.concatenate([np.repeat(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for x, y in zip(rows["blocks"], rows["counts"], strict=True)])
-        order = np.argsort(h, kind="stable")
-        h, many, block = h[order], many[order], block[order]
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(h)])
-        wanted = np.repeat((sizes > 1) | np.logical_or.reduceat(many, starts), sizes) if len(h) else many
-        h, block = h[wanted], block[wanted]
-        order = np.lexsort((h, block))
-        h, block = h[order], block[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])] if len(h) else wanted[:0]
-        h, block = h[new], block[new]
-        cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)] if len(h) else np.zeros(1, np.int64)
+        if cell < 0:
+            keys = np.concatenate([np.frombuffer(unpacked(x), np.uint64) for x in rows["keys"]])
+        else:
+            h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"]])
+            order = np.argsort(h, kind="stable")
+            h, block = h[order], block[order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            sizes = np.diff(np.r_[starts, len(h)])
+            wanted = np.repeat((sizes > 1) | (np.minimum.reduceat(block, starts) == NOBODY), sizes) & (block != NOBODY)
+            keys, block = np.uint64(cell) << np.uint64(32) | h[wanted].astype(np.uint64), block[wanted]
+        order = np.lexsort((keys, block))
+        keys, block = keys[order], block[order]
+        new = np.r_[np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])]
+        keys, block = keys[new], block[new]
+        cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)] if len(block) else np.zeros(1, np.int64)
         pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        bucket = rows["bucket"][0]
-        return pa.table({"block": pa.array([int(block[a]) for a, _ in pairs], pa.int32()), "bucket": pa.array([bucket] * len(pairs), pa.int32()), "hashes": pa.array([h[a:b].tobytes() for a, b in pairs], pa.binary())})
+        out = pa.table({"block": pa.array([int(block[a]) for a, _ in pairs], pa.int32()), "keys": pa.array([pack_keys(keys[a:b]) for a, b in pairs], pa.binary())})
+        give_back()
+        return out
 
-    return listed.groupBy("bucket").applyInArrow(run, "block int, bucket int, hashes binary")
+    return listed.groupBy("cell").applyInArrow(run, "block int, keys binary")
 
 
 class Pieces:
     """A block's texts and their pieces: runs of windows whose anchor other documents have."""
 
-    def __init__(self, left: pa.Table, found: list[tuple[int, bytes]], buckets: int):
+    def __init__(self, left: pa.Table, found: list[bytes], buckets: int):
         ids = [LAST if x is None else x for x in left.column("doc_id").to_pylist()]
         texts = [t or b"" for t in left.column("text").to_pylist()]
         #: The same order each time the block's rows are read.
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.asarray([ids[i] for i in self.order], np.int64)
         self.data, self.lens = joined([texts[i] for i in self.order])
+        self.padded = np.r_[self.data, np.zeros(WIDTH, np.uint8)]
+        self.data = self.padded[: len(self.data)]
         first, count, h = anchored(self.data, self.lens)
-        keys = np.sort(np.concatenate([np.uint64(b) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in found])) if found else np.zeros(0, np.uint64)
-        own = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        keys = np.sort(np.concatenate([unpack_keys(x) for x in found])) if found else np.zeros(0, np.uint64)
+        own = anchor_keys(h, buckets)
         at = np.searchsorted(keys, own)
         ok = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(own), bool)
         self.first, self.count, self.hash = first[ok], count[ok], h[ok]
         self.doc = self.ids[np.searchsorted(np.cumsum(self.lens), self.first, "right")]
         self.size = self.count + WINDOW - 1
-        rows = [self.cut(a, a + 65536) for a in range(0, len(self.first), 65536)]
-        keys2 = np.concatenate([signature(r, n) for r, n in rows]) if rows else np.zeros((0, 2), np.uint64)
-        order, new = grouped(keys2)
+        every = np.arange(len(self.first))
+        parts = [signature(*self.cut(every[a : a + AT_ONCE])) for a in range(0, len(every), AT_ONCE)]
+        order, new = grouped(np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64), lambda which: self.cut(which)[0])
         #: For each piece, the number of its string among the block's different strings.
         self.string = np.empty(len(order), np.int64)
         self.string[order] = np.cumsum(new) - 1
@@ -174,18 +230,16 @@ class Pieces:
         self.least = np.minimum.reduceat(self.doc[order], starts) if len(starts) else np.zeros(0, np.int64)
         self.several = self.least != np.maximum.reduceat(self.doc[order], starts) if len(starts) else np.zeros(0, bool)
 
-    def cut(self, a: int | np.ndarray, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def cut(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of some pieces, as rows padded with zeros, and their lengths."""
-        which = np.arange(a, min(b, len(self.first))) if b is not None else a
         first, size = self.first[which], self.size[which]
-        cols = np.arange(WIDTH)
-        rows = self.data[np.minimum(first[:, None] + cols, len(self.data) - 1)]
-        rows[cols >= size[:, None]] = 0
+        rows = np.lib.stride_tricks.sliding_window_view(self.padded, WIDTH)[first]
+        rows[np.arange(WIDTH) >= size[:, None]] = 0
         return rows, size
 
 
 def signature(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each row; equal pairs are taken for equal strings."""
+    """Two 64-bit hashes of each row, to bring equal strings together."""
     words = np.ascontiguousarray(rows).view(np.uint64)
     out = np.empty((len(words), 2), np.uint64)
     for k, (a, b) in enumerate(((0xA0761D6478BD642F, 0xE7037ED1A0B428DB), (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))):
@@ -197,14 +251,22 @@ def signature(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal pairs together, groups in the order of the pairs, and where each group starts."""
+def grouped(keys: np.ndarray, cut: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal strings together, and where each group starts.
+
+    Strings of one signature are neighbours; a neighbour with other bytes starts a group.
+    """
     order = np.argsort(keys[:, 0])
     first, second = keys[order].T
     if ((first[1:] == first[:-1]) & (second[1:] != second[:-1])).any():
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         first, second = keys[order].T
-    return order, np.r_[np.ones(min(1, len(order)), bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+    new = np.r_[np.ones(min(1, len(order)), bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+    same = np.flatnonzero(~new)
+    for a in range(0, len(same), AT_ONCE):
+        at = same[a : a + AT_ONCE]
+        new[at] = (cut(order[at]) != cut(order[at - 1])).any(axis=1)
+    return order, new
 
 
 def earliest(rows: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -237,7 +299,7 @@ def earliest(rows: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarr
     return out[at]
 
 
-ANSWER = "block int, bucket int, hashes binary, strings binary, least binary"
+ANSWER = "block int, keys binary, strings binary, least binary"
 
 
 def ask(block: int, pieces: Pieces, shards: int) -> pa.Table:
@@ -250,7 +312,7 @@ def ask(block: int, pieces: Pieces, shards: int) -> pa.Table:
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own = order[a:b]
         text, sizes = pieces.cut(some[own])
-        rows.append((int(shard[own[0]]), block, own.astype(np.uint32).tobytes(), text.tobytes(), sizes.astype(np.uint8).tobytes(), pieces.least[own].tobytes(), pieces.several[own].astype(np.uint8).tobytes()))
+        rows.append((int(shard[own[0]]), block, own.astype(np.uint32).tobytes(), packed(text.tobytes()), sizes.astype(np.uint8).tobytes(), pieces.least[own].tobytes(), pieces.several[own].astype(np.uint8).tobytes()))
     types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     names = ["shard", "block", "strings", "rows", "sizes", "least", "several"]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=names)
@@ -259,11 +321,11 @@ def ask(block: int, pieces: Pieces, shards: int) -> pa.Table:
 def answer(table: pa.Table) -> pa.Table:
     """For each block's strings with a window that an earlier document may have: each window's least document."""
     t = table.select(["block", "strings", "rows", "sizes", "least", "several"]).to_pydict()
-    text = np.frombuffer(b"".join(t["rows"]), np.uint8).reshape(-1, WIDTH)
+    text = np.frombuffer(b"".join(map(unpacked, t["rows"])), np.uint8).reshape(-1, WIDTH)
     sizes, least, several = (np.frombuffer(b"".join(t[c]), k) for c, k in (("sizes", np.uint8), ("least", np.int64), ("several", np.uint8)))
     sizes = sizes.astype(np.int64)
     keys = signature(text, sizes)
-    order, new = grouped(keys)
+    order, new = grouped(keys, lambda which: text[which])
     starts = np.flatnonzero(new)
     string = np.empty(len(order), np.int64)
     string[order] = np.cumsum(new) - 1
@@ -281,9 +343,12 @@ def answer(table: pa.Table) -> pa.Table:
         heads = np.cumsum(windows[own]) - windows[own]
         tell = (several[own] > 0) | (np.minimum.reduceat(docs, heads) < least[own])
         if tell.any():
-            rows.append((block, None, None, ids[tell].tobytes(), docs[np.repeat(tell, windows[own])].tobytes()))
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["block", "bucket", "hashes", "strings", "least"])
+            rows.append((block, None, ids[tell].tobytes(), packed(docs[np.repeat(tell, windows[own])].tobytes())))
+    types = [pa.int32(), *[pa.binary()] * 3]
+    out = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["block", "keys", "strings", "least"])
+    del text, keys, found, string, order
+    give_back()
+    return out
 
 
 def removed(pieces: Pieces, answers: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -293,7 +358,7 @@ def removed(pieces: Pieces, answers: list[tuple[bytes, bytes]]) -> np.ndarray:
     docs, at = [], 0
     for strings, least in answers:
         ids = np.frombuffer(strings, np.uint32)
-        docs.append(np.frombuffer(least, np.int64))
+        docs.append(np.frombuffer(unpacked(least), np.int64))
         begin[ids] = at + np.cumsum(windows[ids]) - windows[ids]
         at += len(docs[-1])
     cover = np.zeros(len(pieces.data) + 1, np.int32)
@@ -325,34 +390,38 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     4. The shard tells each block the least document of its windows, and the block
        removes what an earlier document has.
 
-    A passage or a group of copies that a third of all rows hold is one string for each
-    block, so no shard gathers its documents. Null text counts as empty. Null doc_ids come
-    after all others. Rows with one doc_id are one document: they don't remove each other's
-    bytes. Empty table: no rows. Extra columns are ignored unless carried.
+    A passage or a group of copies that a third of all rows hold is one anchor for each
+    UNIT of text in its bucket and one string for each BLOCK in its shard, so no task gathers
+    its documents. Null text counts as empty; texts under 50 bytes take no part. Very long
+    text: one block holds it whole. Null doc_ids come after all others. Rows with one doc_id
+    are one document: they don't remove each other's bytes, and are dealt by their texts.
+    Ties: a window's least doc_id decides, so the order of equal ids doesn't matter. Empty
+    table: no rows. Extra columns are ignored unless carried.
     """
     carry = carry or []
-    picked = pick(docs, doc_id=doc_id, text=text, **{f"carry_{i}": c for i, c in enumerate(carry)})
+    names = [f"carry_{i}" for i in range(len(carry))]
+    picked = pick(docs, doc_id=doc_id, text=text, **dict(zip(names, carry, strict=True)))
     picked = picked.withColumn("text", F.col("text").cast("binary"))
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = max(1, -(-total // BLOCK)), max(1, -(-total // (CHOICES // 2 * BUCKET)))
-    # rows without an id are dealt by their texts: one hash would put them all into one block
-    rows = picked.withColumn("block", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = picked.agg(F.sum(size)).first()[0] or 0
+    blocks, buckets, shards = max(1, -(-total // BLOCK)), max(1, -(-total // (CHOICES // 2 * BUCKET))), max(1, -(-total // SHARD))
+    rows = picked.filter(size >= WINDOW).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
     found = staged(shared_anchors(list_anchors(rows, buckets)), "anchors")
     by_block = rows.groupBy("block")
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes = list(zip(right.column("bucket").to_pylist(), right.column("hashes").to_pylist(), strict=True))
-        return ask(key[0].as_py(), Pieces(left, hashes, buckets), blocks)
+        out = ask(key[0].as_py(), Pieces(left, right.column("keys").to_pylist(), buckets), shards)
+        give_back()
+        return out
 
     asked = by_block.cogroup(found.groupBy("block")).applyInArrow(send, "shard int, block int, strings binary, rows binary, sizes binary, least binary, several binary")
     told = asked.groupBy("shard").applyInArrow(answer, ANSWER)
-    both = found.select("block", "bucket", "hashes", F.lit(None).cast("binary").alias("strings"), F.lit(None).cast("binary").alias("least")).union(told)
-    fields = ", ".join(f"carry_{i} {picked.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    both = found.select("block", "keys", F.lit(None).cast("binary").alias("strings"), F.lit(None).cast("binary").alias("least")).union(told)
+    fields = ", ".join(f"{n} {picked.schema[n].dataType.simpleString()}" for n in names)
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         r = right.to_pydict()
-        hashes = [(b, h) for b, h in zip(r["bucket"], r["hashes"], strict=True) if h is not None]
-        pieces = Pieces(left, hashes, buckets)
+        pieces = Pieces(left, [x for x in r["keys"] if x is not None], buckets)
         gone = removed(pieces, [(s, x) for s, x in zip(r["strings"], r["least"], strict=True) if s is not None])
         lost, spans, kept, at = [], [], [], 0
         for n in pieces.lens.tolist():
@@ -364,10 +433,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             at += n
         left = left.take(pa.array(pieces.order, pa.int64()))
         new = [left.column("doc_id"), pa.array(pieces.lens), pa.array(lost, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if decode else pa.binary())]
-        return pa.table(new + [left.column(f"carry_{i}") for i in range(len(carry))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[f"carry_{i}" for i in range(len(carry))]])
+        del pieces, gone, kept
+        give_back()
+        return pa.table(new + [left.column(n) for n in names], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *names])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if decode else "binary") + (f", {fields}" if fields else "")
     out = by_block.cogroup(both.groupBy("block")).applyInArrow(finish, schema)
+    whole = F.coalesce("text", F.lit("").cast("binary"))
+    none = F.lit(0).cast("long")
+    short = picked.filter(size < WINDOW).select("doc_id", size.cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), (whole.cast("string") if decode else whole).alias("kept"), *names)
+    out = out.union(short)
     return out.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry)
 
 

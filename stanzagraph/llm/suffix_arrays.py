@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-#: Alphabets up to this size are induced bucket by bucket; larger ones are ranked by doubling.
-BUCKETS = 2048
+from collections.abc import Callable
 
+import numpy as np
 
 def suffix_types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one (S-type). s ends in a unique 0."""
@@ -24,18 +22,18 @@ def suffix_types(s: np.ndarray) -> np.ndarray:
 def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
     """All suffixes in order, from leftmost-smaller suffixes ``seeds`` in order.
 
-    Buckets are scanned upwards for larger-type suffixes, then downwards for smaller-type
-    ones. What a bucket holds is induced at once; what falls back into the same bucket is
-    a further wave, so there are as many waves in a bucket as its longest run of one letter.
+    One sweep upwards puts the larger-type suffixes, one downwards the smaller-type ones.
+    A sweep takes as many buckets at once as put nothing into each other, so its steps
+    follow the root of the length rather than the number of letters; a bucket that puts
+    suffixes into itself goes alone, in as many waves as its longest run of one letter.
     """
     n = len(s)
-    counts = np.bincount(s, minlength=k)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    sa = np.empty(n, np.int32)
-    sa[0] = n - 1  # the sentinel follows no letter, so nothing induces it
+    ends = np.cumsum(np.bincount(s, minlength=k))
+    starts = np.r_[0, ends[:-1]]
+    sa = np.full(n, -1, np.int32)
 
     def put(wave: np.ndarray, kind: bool, heads: np.ndarray, step: int) -> None:
+        """The suffixes one to the left of the wave's, if of this kind, to the heads of their buckets."""
         q = wave[wave > 0] - 1
         q = q[small[q] == kind]
         if not len(q):
@@ -43,47 +41,65 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.nd
         letters = s[q]
         order = np.argsort(letters, kind="stable")
         q, letters = q[order], letters[order].astype(np.int64)
-        many = np.bincount(letters, minlength=k)
-        rank = np.arange(len(q)) - (np.cumsum(many) - many)[letters]
+        new = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
+        many = np.diff(np.r_[new, len(q)])
+        rank = np.arange(len(q)) - np.repeat(new, many)
         sa[heads[letters] + step * rank] = q
-        heads += step * many
+        heads[letters[new]] += step * many
 
-    by_letter = np.searchsorted(s[seeds], np.arange(k + 1))
-    heads = starts.copy()
-    for c in np.flatnonzero(counts).tolist():
-        done = starts[c]
-        while done < heads[c]:
-            upto = heads[c]
-            put(sa[done:upto].copy(), False, heads, 1)
-            done = upto
-        put(seeds[by_letter[c] : by_letter[c + 1]], False, heads, 1)
-    larger_ends = heads
-    tails = ends - 1
-    for c in np.flatnonzero(counts)[::-1].tolist():
-        done = ends[c] - 1
-        while done > tails[c]:
-            upto = tails[c]
-            put(sa[upto + 1 : done + 1][::-1].copy(), True, tails, -1)
-            done = upto
-        put(sa[starts[c] : larger_ends[c]][::-1].copy(), True, tails, -1)
+    def free(wave: np.ndarray, kind: bool, pick: Callable[[np.ndarray], int], inside: Callable[[np.ndarray], np.ndarray]) -> int | None:
+        """The first bucket in the sweep's order, of those in hand, that the wave puts something into."""
+        q = wave[wave > 0] - 1
+        letters = s[q[small[q] == kind]]
+        letters = letters[inside(letters)]
+        return int(pick(letters)) if len(letters) else None
+
+    letters = s[seeds]
+    places = ends[letters] - (np.searchsorted(letters, letters, "right") - np.arange(len(seeds)))
+    sa[places] = seeds
+    heads, c, wide = starts.copy(), 0, 1
+    while c < k:
+        upto = min(k, c + wide)
+        wave = sa[starts[c] : ends[upto - 1]]
+        met = free(wave, False, np.min, lambda x: x < upto)
+        if met is None:
+            put(wave, False, heads, 1)
+            c, wide = upto, 2 * wide
+        elif met > c:
+            put(sa[starts[c] : starts[met]], False, heads, 1)
+            c, wide = met, max(1, met - c)
+        else:
+            done = starts[c]
+            while done < heads[c]:
+                now = heads[c]
+                put(sa[done:now].copy(), False, heads, 1)
+                done = now
+            put(sa[heads[c] : ends[c]], False, heads, 1)
+            c += 1
+    sa[places] = -1  # the second sweep fills them again; but nothing puts the sentinel
+    sa[0] = n - 1
+    tails, c, wide = ends - 1, k - 1, 1
+    while c >= 0:
+        down = max(0, c - wide + 1)
+        wave = sa[starts[down] : ends[c]][::-1]
+        met = free(wave, True, np.max, lambda x: x >= down)
+        if met is None:
+            put(wave, True, tails, -1)
+            c, wide = down - 1, 2 * wide
+        elif met < c:
+            put(sa[ends[met] : ends[c]][::-1], True, tails, -1)
+            c, wide = met, max(1, c - met)
+        else:
+            done = ends[c] - 1
+            while done > tails[c]:
+                now = tails[c]
+                put(sa[now + 1 : done + 1][::-1].copy(), True, tails, -1)
+                done = now
+            put(sa[starts[c] : tails[c] + 1][::-1], True, tails, -1)
+            c -= 1
     return sa
 
 
-def doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks, for alphabets too large to scan bucket by bucket."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key)
-        new = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order.astype(np.int32)
-        width *= 2
-
-
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of ``s``: letters below ``k``, the last a 0 that occurs nowhere else."""
     n = len(s)
@@ -115,9 +131,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         name = np.empty(n, np.int32)
         name[ordered] = named
         reduced = name[lms]  # ends in the sentinel's name, 0
-        letters = int(named[-1]) + 1
-        order = suffix_array(reduced, letters) if letters <= BUCKETS else doubled(reduced)
-        ordered = lms[order]
+        ordered = lms[suffix_array(reduced, int(named[-1]) + 1)]
     return induce(s, small, ordered, k)
 
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from stanzagraph.llm.substring_dedup import op6_suffix_array_dedup, remove_repeats
-from stanzagraph.llm.suffix_arrays import doubled, permuted_lcp, suffix_array
+from stanzagraph.llm import suffix_arrays
+from stanzagraph.llm.suffix_arrays import permuted_lcp, suffix_array
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -16,7 +17,6 @@ def test_suffix_array(seed):
     want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
     sa = suffix_array(s, k)
     assert sa.tolist() == want
-    assert doubled(s).tolist() == want
     heads = rng.integers(0, len(s), 3)
     got = permuted_lcp(s, sa, heads, len(s))
     for a, b in zip(want, want[1:]):
@@ -26,6 +26,19 @@ def test_suffix_array(seed):
         assert got[b] == x
 
 
+def test_recursion_goes_on_with_large_alphabets(monkeypatch):
+    levels, own = [], suffix_arrays.suffix_array
+    monkeypatch.setattr(suffix_arrays, "suffix_array", lambda s, k: levels.append((len(s), k)) or own(s, k))
+    rng = np.random.default_rng(8)
+    words = [rng.integers(2, 28, int(n)) for n in rng.integers(2, 9, 900)]
+    s = np.r_[np.concatenate([words[i] for i in rng.integers(0, 900, 30_000)]), 0].astype(np.int16)
+    sa = suffix_arrays.suffix_array(s, 28)
+    assert len(levels) >= 3 and levels[1][1] > 2048 and [n for n, _ in levels] == sorted((n for n, _ in levels), reverse=True)
+    at = rng.integers(0, len(s) - 1, 3000)
+    assert sorted(sa.tolist()) == list(range(len(s)))
+    assert all(s[sa[i] :].tolist() < s[sa[i + 1] :].tolist() for i in at[:200])
+
+
 def brute(rows):
     first = {}
     for d, t in rows:
@@ -81,3 +94,43 @@ def test_rows_without_an_id_over_many_blocks(spark, monkeypatch):
     rows = [(None, f"{i} " * 30 + (passage if i % 2 else "")) for i in range(12)] + [(7, passage), (3, "before " + passage + " after")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(remove_repeats(docs)) == brute([(d, t.encode()) for d, t in rows])
+
+
+def text_of(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 10**7, n))
+
+
+@pytest.mark.parametrize("hot", ["passage", "id", "copies", "no id"])
+def test_a_third_of_all_rows_share(spark, monkeypatch, hot):
+    from stanzagraph.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(substring_dedup, "SHARD", 2000)
+    monkeypatch.setattr(substring_dedup, "UNIT", 2500)
+    rng = np.random.default_rng(5)
+    passage, rows = text_of(rng, 14), []
+    for i in range(90):
+        own = text_of(rng, 20)
+        third = i % 3 == 0
+        rows.append({"passage": (i, own + " " + passage if third else own), "id": (1000 if third else i, own + passage if i % 2 else own), "copies": (i, passage * 3 if third else own), "no id": (None if third else i, passage if third else own + passage)}[hot])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got(remove_repeats(docs)) == brute([(d, t.encode()) for d, t in rows])
+
+
+def test_signatures_alone_do_not_make_strings_equal(monkeypatch, spark):
+    from stanzagraph.llm import substring_dedup
+
+    rng = np.random.default_rng(6)
+    text = np.frombuffer(" ".join(text_of(rng, 9)[:80] for _ in range(40)).encode(), np.uint8)[: 40 * 80].reshape(40, 80)
+    rows = text[rng.integers(0, 40, 300)]
+    order, new = substring_dedup.grouped(np.zeros((300, 2), np.uint64), lambda which: rows[which])
+    held = [rows[i].tobytes() for i in order]
+    assert all(n == (k == 0 or held[k] != held[k - 1]) for k, n in enumerate(new.tolist()))
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(7)
+    long = text_of(rng, 40_000)
+    rows = [(3, long), (5, long[1000:3000] + "x"), (1, "y" + long[-700:]), (9, long)]
+    out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].n_removed == 0 and out[3].n_removed == 700 and out[5].n_removed == 2000 and bytes(out[5].kept) == b"x" and out[9].n_removed == len(long)
