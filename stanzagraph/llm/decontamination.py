@@ -7,24 +7,32 @@ import unicodedata
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stanzagraph.llm.common import pick
+from stanzagraph.llm.common import SALTS, Bounded, give_back, partitions_for, pick, salted_join, slices, staged
 
 #: Words of a window, and the share of an item's windows that a document must have.
 WIDTH, COVERAGE = 5, 0.8
 #: Literal words that a window needs; one of placeholders alone says nothing.
 LITERAL = 3
-#: Benchmark items, and bytes of their texts, in one pass over the documents on average; a larger benchmark takes more passes.
-ITEMS_EACH, BYTES_EACH = 20_000, 32_000_000
-#: Words whose codes a worker remembers.
-REMEMBERED = 1_000_000
+#: Kinds of windows: templates with names, plain forms, and plain forms word for word.
+NAMED, PLAIN, EXACT = range(3)
+#: Bits of the filter that every task gets: 64 a probe, between these powers of two (128 kB and 32 MB).
+LEAST_BITS, MOST_BITS = 20, 28
+#: Bytes that a worker's codes of words may take; freed with the task.
+REMEMBERED = 24 << 20
+#: Pairs of document and form, and bytes of documents, that are checked in one group on average.
+PAIRS_EACH, BYTES_EACH = 4000, 8_000_000
+#: Bytes of verdicts up to which every task gets them all; beyond, they are joined.
+BROADCAST = 8_000_000
+#: Bytes that a verdict takes there.
+VERDICT = 100
 
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*(%|st|nd|rd|th)?$")
 NUMBER_UNIT = re.compile(rb"\d[\d.,]*[a-z]{1,3}$")
@@ -78,43 +86,33 @@ def word_codes(word: bytes) -> tuple[int, int]:
     return code, other if form else 0
 
 
-class Codes(dict):
-    """Word -> its code as part of a template."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = word_codes(word)[0]
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = code
-        return code
-
-
 class Known(dict):
     """Word -> its place in the arrays of both codes."""
 
     def __init__(self):
-        self.named, self.plain = array("Q"), array("Q")
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.named, self.plain, self.held = array("Q"), array("Q"), 0
 
     def __missing__(self, word: bytes) -> int:
         code, other = word_codes(word)
         at = self[word] = len(self.named)
         self.named.append(code)
         self.plain.append(other)
+        self.held += len(word) + 200
         return at
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.named, self.plain = array("Q"), array("Q")
+        if self.held > REMEMBERED:
+            self.forget()
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return np.frombuffer(self.named, np.uint64)[at], np.frombuffer(self.plain, np.uint64)[at]
 
 
-def template(words: list[bytes], codes: Codes) -> np.ndarray:
-    """One code a word. A capitalised word is a name unless it starts a sentence."""
-    return with_names(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
-
-
 def with_names(got: np.ndarray) -> np.ndarray:
     starts = np.r_[np.uint64(2), got[:-1]] & np.uint64(2)
     name = (got & np.uint64(1) == 1) & (starts == 0)
@@ -129,9 +127,9 @@ def with_plain_forms(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind == 0, got, kind * NUMBER_CODE), at
 
 
-def windows(code: np.ndarray, width: int) -> np.ndarray:
+def windows(code: np.ndarray, kind: int, width: int) -> np.ndarray:
     n = len(code) - width + 1
-    h = np.zeros(max(0, n), np.uint64)
+    h = np.full(max(0, n), ROLLS[16 + 8 * kind + width], np.uint64)
     for j in range(width if n > 0 else 0):
         h += code[j : j + n] * ROLLS[j]
     h ^= h >> np.uint64(29)
@@ -144,10 +142,12 @@ def bare(word: bytes) -> bytes:
 
 
 def scarce(code: np.ndarray) -> bool:
-    """Whether some window has too few literal words, but not all words are placeholders."""
+    """Whether some window has too few literal words; of placeholders alone there must be LITERAL."""
     width = min(WIDTH, len(code))
     literal = code > NAME_CODE
-    return bool(literal.any() and np.convolve(literal, np.ones(width, int), "valid").min() < min(LITERAL, width))
+    if not literal.any():
+        return len(code) >= LITERAL
+    return bool(np.convolve(literal, np.ones(width, int), "valid").min() < min(LITERAL, width))
 
 
 Pairs = list[tuple[int, int]]
@@ -222,17 +222,22 @@ def diagonals(pairs: Pairs, width: int) -> Pairs:
 
 
 def consistent(pairs: Pairs, width: int, slots: dict[int, bytes], value: Callable[[int], bytes]) -> Iterator[tuple[int, bool]]:
-    """(places of the item, whether values are all the same) of the runs of pairs in which each value of the slots stands for one."""
+    """(places, whether values are all the same) of the runs of pairs in which each value of the slots stands for one.
+
+    Counted are places of the item, but no more than there are places of the text.
+    """
     places: dict[int, int] = defaultdict(int)
+    theirs: dict[int, int] = defaultdict(int)
     given: dict[bytes, dict[bytes, int]] = defaultdict(dict)
     first, several, other, most = 0, 0, 0, (0, False)
 
     def put(pair: tuple[int, int], by: int) -> None:
         nonlocal several, other
         p, q = pair
-        places[q] += by
-        if not places[q]:
-            del places[q]
+        for own, at in ((places, q), (theirs, p)):
+            own[at] += by
+            if not own[at]:
+                del own[at]
         for k in range(width):
             if (slot := slots.get(q + k)) is not None:
                 new, held = value(p + k), given[slot]
@@ -248,130 +253,164 @@ def consistent(pairs: Pairs, width: int, slots: dict[int, bytes], value: Callabl
         while several:
             put(pairs[first], -1)
             first += 1
-        if (len(places), not other) > most:
-            most = len(places), not other
+        now = min(len(places), len(theirs)), not other
+        if now > most:
+            most = now
             yield most
 
 
-class Table:
-    """Windows of one kind by hash, and what is needed to check a match."""
+@dataclass
+class Form:
+    """One way to compare an item: its windows by hash, and the values of its slots by place."""
 
-    def __init__(self):
-        self.items, self.tables = [], {}
-        self.by_width = defaultdict(list)
+    kind: int
+    width: int
+    n: int
+    hashes: np.ndarray
+    places: np.ndarray
+    slots: dict[int, bytes]
 
-    def add(self, item: int, code: np.ndarray, values: list[bytes]) -> None:
+    @classmethod
+    def of(cls, kind: int, code: np.ndarray, values: list[bytes]) -> Form | None:
+        """None where no window has enough literal words."""
         if not len(code):
-            return
+            return None
         width = min(WIDTH, len(code))
-        literal = np.convolve(code > NAME_CODE, np.ones(width, int), "valid")
-        usable = np.flatnonzero(literal >= min(LITERAL, width))
-        if not len(usable):
-            return
-        slots = {int(p): values[p] for p in np.flatnonzero(code <= NAME_CODE)}
-        self.items.append((item, len(code), width, len(usable), slots))
-        h = windows(code, width)
-        self.by_width[width] += [(int(h[p]), len(self.items) - 1, int(p)) for p in usable]
-
-    def close(self) -> None:
-        for width, rows in self.by_width.items():
-            rows.sort()
-            hashes = np.asarray([r[0] for r in rows], np.uint64)
-            marked = np.zeros(1 << 20, bool)
-            marked[hashes >> np.uint64(44)] = True
-            self.tables[width] = marked, hashes, np.asarray([r[1:] for r in rows], np.int64)
-        self.by_width.clear()
-
-    def matches(self, code: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Item -> (place in the text, place in the item) of each shared window."""
-        out = defaultdict(list)
-        for width, (marked, hashes, where) in self.tables.items():
-            h = windows(code, width)
-            maybe = np.flatnonzero(marked[h >> np.uint64(44)])
-            if not len(maybe):
-                continue
-            lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
-            for p, a, b in zip(maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(a, b):
-                    out[int(where[k, 0])].append((p, int(where[k, 1])))
-        return out
-
-    def check(self, code: np.ndarray, value: Callable[[int], bytes]) -> Iterator[tuple[int, float, bool]]:
-        """(item, coverage, whether slots are all the same) of the items that a text of these codes and values contains.
+        places = np.flatnonzero(np.convolve(code > NAME_CODE, np.ones(width, int), "valid") >= min(LITERAL, width))
+        if not len(places):
+            return None
+        hashes = windows(code, kind, width)[places]
+        order = np.argsort(hashes, kind="stable")
+        return cls(kind, width, len(code), hashes[order], places[order], {int(p): values[p] for p in np.flatnonzero(code <= NAME_CODE)} if kind != EXACT else {})
+
+    def row(self) -> tuple:
+        return self.kind, self.width, self.n, self.hashes.view(np.int64).tolist(), self.places.tolist(), list(self.slots), list(self.slots.values())
+
+    def matches(self, hashes: np.ndarray) -> Pairs:
+        """(place in the text, place in the item) of each shared window, in order."""
+        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        at = np.flatnonzero(hi > lo)
+        return sorted((p, int(q)) for p, a, b in zip(at.tolist(), lo[at].tolist(), hi[at].tolist(), strict=True) for q in self.places[a:b])
+
+    def check(self, hashes: np.ndarray, value: Callable[[int], bytes]) -> tuple[float, bool] | None:
+        """(coverage, whether slots are all the same) if a text of these windows and values contains the item.
 
         Windows count together if they lie within a stretch a quarter longer than the
         item. There a value of the item's slots must always stand for the same value: over
-        all pairs of windows, or over one alignment of them, as far as it takes for all
-        their places of the item. Any stretch where this holds will do.
+        all pairs of windows, or over one alignment of them. Any run of windows where this
+        holds and that has enough of the item will do, whatever stands beside it.
         """
-        for item, found in self.matches(code).items():
-            own, n, width, usable, slots = self.items[item]
-            if len({q for _, q in found}) < COVERAGE * usable:
-                continue
-            found.sort()
-            best = None
-            for stretch in stretches(found, 1.25 * n, COVERAGE * usable):
-                for align in (whole, chain, diagonals) if slots else (whole,):
-                    if best == (1.0, True):
-                        break
-                    pairs = align(stretch, width)
-                    full = len({q for _, q in pairs})
-                    share = full / usable
-                    if share < COVERAGE or best and (share, True) <= best:
-                        continue
-                    for count, same in consistent(pairs, width, slots, value):
-                        if count == full and (best is None or (share, same) > best):
-                            best = share, same
-            if best:
-                yield own, *best
-
-
-class Templates:
-    """The benchmark's windows: as templates, and in plain forms that neither case nor punctuation changes.
+        found, usable, best = self.matches(hashes), len(self.places), None
+        if len({q for _, q in found}) < COVERAGE * usable:
+            return None
+        for stretch in stretches(found, 1.25 * self.n, COVERAGE * usable):
+            for align in (whole, chain, diagonals) if self.slots else (whole,):
+                if best == (1.0, True):
+                    return best
+                for count, same in consistent(align(stretch, self.width), self.width, self.slots, value):
+                    if count >= COVERAGE * usable and (best is None or (count / usable, same) > best):
+                        best = count / usable, same
+        return best
+
+
+def forms_of(text: bytes, known: Known) -> list[Form]:
+    """An item's forms: as a template, and in plain forms that neither case nor punctuation changes.
 
     Which words are names shows only in mixed case and between sentence marks, so the plain
     forms have no names. Of items with punctuation inside words both forms are kept: with
     these words' parts run together, and apart. Items with windows of too few literal words
-    are kept by their exact plain forms as well, unless they are numbers and units alone.
+    are kept by their exact plain forms as well, unless they are but one or two placeholders.
+    """
+    words = text.split()
+    if not words:
+        return []
+    out = [Form.of(NAMED, with_names(known.of(words)[0]), [bare(w) for w in words])]
+    apart = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.decode("utf-8", "replace")).encode().split()
+    seen = set()
+    for form in (words, apart):
+        got = known.of(form)[1]
+        code, at = with_plain_forms(got)
+        if code.tobytes() not in seen:
+            seen.add(code.tobytes())
+            out.append(Form.of(PLAIN, code, [plain(form[p].decode("utf-8", "replace")).encode() for p in at]))
+            if len(code) and scarce(code):
+                out.append(Form.of(EXACT, got[at], []))
+    return [f for f in out if f]
+
+
+class Text:
+    """A document's words and their windows of every kind."""
+
+    def __init__(self, raw: bytes, known: Known):
+        self.words = raw.split()
+        named, plain_codes = known.of(self.words)
+        code, self.at = with_plain_forms(plain_codes)
+        self.codes = {NAMED: with_names(named), PLAIN: code, EXACT: plain_codes[self.at]}
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+
+    def windows(self, kind: int, width: int) -> np.ndarray:
+        if (kind, width) not in self.made:
+            self.made[kind, width] = windows(self.codes[kind], kind, width)
+        return self.made[kind, width]
+
+    def value(self, kind: int) -> Callable[[int], bytes]:
+        if kind == NAMED:
+            return lambda p: bare(self.words[p])
+        return lambda p: plain(self.words[self.at[p]].decode("utf-8", "replace")).encode()
+
+
+FORM = "item binary, item_id long, form long, kind int, width int, n int, hashes array<long>, places array<int>, slots array<int>, slot_values array<binary>"
+VERDICTS = "key binary, n_items int, item_id long, coverage double, kind string"
+
+
+def as_forms(items: DataFrame) -> DataFrame:
+    """FORM rows of the items (item_id, text); an item that stands twice is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        names = ["item", "item_id", "form", "kind", "width", "n", "hashes", "places", "slots", "slot_values"]
+        schema = pa.schema(list(zip(names, types, strict=True)))
+        for some in slices(batches, 1):
+            rows = []
+            for item_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                item = xxhash.xxh3_128_digest(f"{item_id}:".encode() + (text or b""))
+                for k, form in enumerate(forms_of(text or b"", known)):
+                    rows.append((item, item_id, xxhash.xxh3_64_intdigest(item + bytes([k])) >> 1, *form.row()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], schema=schema)
+        known.forget()
+        give_back()
+
+    return items.distinct().mapInArrow(run, FORM)
+
+
+def rarest(forms: DataFrame) -> DataFrame:
+    """(h, form): windows of each form of which a text that has enough of it has at least one.
+
+    With 80 % of a form's windows a text misses at most 20 %, so any one more than these
+    will do; they are those that the fewest forms share, so that a template that very many
+    items begin with brings no pairs of texts and items together.
     """
+    each = forms.select("form", F.size("places").alias("usable"), F.posexplode("hashes").alias("at", "h"))
+    shared = each.groupBy("h").agg(F.count_distinct("form").alias("forms"))
+    rank = F.row_number().over(Window.partitionBy("form").orderBy("forms", "h", "at"))
+    needed = F.col("usable") - F.ceil(F.lit(COVERAGE) * F.col("usable") - F.lit(1e-9)) + 1
+    return each.join(shared, "h").withColumn("rank", rank).filter(F.col("rank") <= needed).select("h", "form").distinct()
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]]):
-        self.ids, self.named, self.plain, self.exact = [], Table(), Table(), Table()
-        self.known = Known()
-        for item_id, text in items:
-            words = (text or b"").split()
-            if not words:
-                continue
-            own = len(self.ids)
-            self.ids.append(item_id)
-            self.named.add(own, with_names(self.known.of(words)[0]), [bare(w) for w in words])
-            apart = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in (text or b"").decode("utf-8", "replace")).encode().split()
-            seen = set()
-            for form in (words, apart):
-                got = self.known.of(form)[1]
-                code, at = with_plain_forms(got)
-                if code.tobytes() not in seen:
-                    seen.add(code.tobytes())
-                    self.plain.add(own, code, [plain(form[p].decode("utf-8", "replace")).encode() for p in at])
-                    if scarce(code):
-                        self.exact.add(own, got[at], [])
-        for table in (self.named, self.plain, self.exact):
-            table.close()
-
-    def check(self, words: list[bytes]) -> Iterator[tuple[int, float, bool]]:
-        """(item, coverage, whether slots are all the same) of the items that the words contain."""
-        best: dict[int, tuple[float, bool]] = {}
-        named, forms = self.known.of(words)
-        code, at = with_plain_forms(forms)
-        for found in (
-            self.named.check(with_names(named), lambda p: bare(words[p])),
-            self.plain.check(code, lambda p: plain(words[at[p]].decode("utf-8", "replace")).encode()),
-            self.exact.check(forms[at], lambda p: b"") if self.exact.items else (),
-        ):
-            for item, *got in found:
-                best[item] = max(best.get(item, (0.0, False)), tuple(got))
-        for item, got in best.items():
-            yield item, *got
+
+def filter_of(probes: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Bits of a hash that the filter looks at, and the filter: a bit for each value, set for the probes'.
+
+    Its size follows the probes up to 32 MB; of a larger benchmark it lets more of other windows pass.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - bits) + 1
+    rows = probes.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")).collect()
+    held = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+        held[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
+    return bits, held
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -387,49 +426,95 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     n_items, item_id (the least leaked), coverage (its largest) and kind (verbatim or
     reparameterised, of the least item; null where nothing leaks), and columns ``carry``.
 
-    The windows of about ITEMS_EACH items or BYTES_EACH bytes are a hash table that every
-    task gets; a larger benchmark is joined in several passes of that size.
-
-    Null and wordless documents leak nothing; null and wordless items, and items of
-    numbers and units alone, are ignored. A template window needs LITERAL literal words;
-    items with other windows also count where 80 % of all their windows stand word for word. An item with a null id counts, but names no item_id.
-    Items of under 5 words are one window. Repeated rows: each returned. Empty documents:
-    no rows. Empty benchmark: nothing leaks. Extra columns are ignored unless carried.
+    1. Items become forms with their windows' hashes; each form's rarest windows are probes.
+    2. One pass over the documents finds those with a probe's hash, through a filter of at
+       most 32 MB; these go on, with their hashes, one for each different text of a task.
+    3. Their hashes are joined with the probes', dealt over SALTS tasks a hash, and each
+       pair of text and form that meets is checked: windows, stretches, slots.
+    4. Verdicts are joined to the documents by their texts' MD5.
+
+    Null and wordless documents leak nothing; null and wordless items, and items of one or
+    two numbers and units alone, are ignored. A template window needs LITERAL literal words;
+    items with other windows also count where 80 % of all their windows stand word for word.
+    An item with a null id counts, but names no item_id. Items of under 5 words are one
+    window. Items that stand twice with one id count once. Very long texts are checked
+    whole. Ties: of an item's forms the one with the largest coverage counts, then a verbatim
+    one. Repeated rows: each returned. Empty documents: no rows. Empty benchmark: nothing
+    leaks. Extra columns are ignored unless carried.
     """
     carry = carry or []
+    spark = docs.sparkSession
     names = [f"carry_{i}" for i in range(len(carry))]
-    items = pick(benchmark, item_id=item_id, text=item_text).withColumn("text", F.col("text").cast("binary"))
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    passes = max(1, -(-size["n"] // ITEMS_EACH), -(-size["bytes"] // BYTES_EACH))
-    out = pick(docs, doc_id=doc_id, text=text, **dict(zip(names, carry, strict=True))).withColumn("text", F.col("text").cast("binary"))
-    out = out.select("doc_id", "text", *names, F.lit(0).cast("int").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("string").alias("kind"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        rows = [(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in part.orderBy("item_id", "text").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Templates(shared.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    some = batch.slice(at, 1000)
-                    state = list(zip(*(some.column(c).to_pylist() for c in ("n_items", "item_id", "coverage", "kind")), strict=True))
-                    for i, raw in enumerate(some.column("text").to_pylist()):
-                        words = (raw or b"").split()
-                        if words:
-                            n, least, share, kind = state[i]
-                            for item, got, same in known.check(words):
-                                own = known.ids[item]
-                                n, share = n + 1, max(got, share or 0.0)
-                                if kind is None or own is not None and (least is None or own < least):
-                                    least, kind = own, "verbatim" if same else "reparameterised"
-                            state[i] = n, least, share, kind
-                    new = [pa.array(c, t) for c, t in zip(zip(*state, strict=True) if state else [[]] * 4, [pa.int32(), pa.int64(), pa.float64(), pa.string()], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*some.columns[:-4], *new], names=some.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    out = out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "coverage", "kind", *names)
+    rows = pick(docs, doc_id=doc_id, text=text, **dict(zip(names, carry, strict=True))).withColumn("text", F.col("text").cast("binary")).withColumn("key", F.unhex(F.md5("text")))
+    items = pick(benchmark, item_id=item_id, text=item_text).select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
+    forms = staged(as_forms(items), "forms")
+    probes = staged(rarest(forms), "probes")
+    bits, held = filter_of(probes, probes.count())
+    widths = sorted((r["kind"], r["width"]) for r in forms.select("kind", "width").distinct().collect())  # at most 15
+    shared = spark.sparkContext.broadcast(held)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, seen = Known(), shared.value, Bounded(REMEMBERED)
+        for some in slices(batches, 1):
+            out = []
+            for key, raw in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                text = Text(raw or b"", known)
+                hits = []
+                for kind, width in widths:
+                    h = text.windows(kind, width)
+                    at = h >> np.uint64(64 - bits)
+                    hits.append(h[held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1])
+                hits = np.unique(np.concatenate(hits)) if hits else []
+                if len(hits) and key not in seen:
+                    seen.keep(key, True, 0)
+                    out.append((key, raw, hits.view(np.int64).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], names=["key", "text", "hits"])
+        known.forget()
+        seen.clear()
+        give_back()
+
+    hits = staged(rows.filter("text is not null").select("key", "text").mapInArrow(probe, "key binary, text binary, hits array<long>"), "hits")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    copies = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = hits.select("key", F.explode("hits").alias("h")).distinct().withColumn("salt", salt)
+    pairs = staged(met.join(copies(probes), ["h", "salt"]).select("key", "form").distinct(), "pairs")
+    size = hits.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(partitions_for(spark, pairs.count(), PAIRS_EACH), -(-size // BYTES_EACH))
+    group = F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("group")
+    asked = pairs.withColumn("salt", salt).join(copies(forms), ["form", "salt"]).drop("salt").withColumn("group", group)
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, made, texts, out = Known(), {}, {}, []
+        if right.num_rows:
+            texts = dict(zip(left.column("key").to_pylist(), left.column("text").to_pylist(), strict=True))
+        by = defaultdict(list)
+        for r in right.to_batches():
+            for row in r.to_pylist():
+                if row["form"] not in made:
+                    made[row["form"]] = Form(row["kind"], row["width"], row["n"], np.asarray(row["hashes"], np.int64).view(np.uint64), np.asarray(row["places"], np.int64), dict(zip(row["slots"], row["slot_values"], strict=True)))
+                by[row["key"]].append((row["item_id"] is None, row["item_id"] or 0, row["item"], row["form"]))
+        for key, own in by.items():
+            text, best = Text(texts[key], known), {}
+            for form in own:
+                f = made[form[3]]
+                got = f.check(text.windows(f.kind, f.width), text.value(f.kind))
+                if got:
+                    best[form[:3]] = max(best.get(form[:3], (0.0, False)), got)
+            if best:
+                first = min(best)
+                out.append((key, len(best), None if first[0] else first[1], max(x for x, _ in best.values()), "verbatim" if best[first][1] else "reparameterised"))
+        known.forget()
+        give_back()
+        types = [pa.binary(), pa.int32(), pa.int64(), pa.float64(), pa.string()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["key", "n_items", "item_id", "coverage", "kind"])
+
+    verdicts = staged(hits.select("key", "text", group).groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(check, VERDICTS), "verdicts")
+    if verdicts.count() * VERDICT <= BROADCAST:
+        out = rows.join(F.broadcast(verdicts), "key", "left")
+    else:
+        out = salted_join(rows, verdicts, "key", ["doc_id", *names])
+    out = out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", "coverage", "kind", *names)
     return out.toDF(*out.columns[:6], *carry)
 
 

@@ -1,16 +1,15 @@
 import zlib
 from collections import defaultdict
-from functools import cache
 
 import numpy as np
 import public_tokenizers
+from brute_leaks import leaks
 from pyspark.sql import functions as F
 from test_quality_rules import brute as brute_rules
 from test_simhash import brute_fp, roots
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stanzagraph.llm.decontamination import COVERAGE, LITERAL, NAME_CODE, WIDTH, Codes, bare, template
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,26 +54,6 @@ def passages(rows):
     return out
 
 
-@cache
-def coded(text):
-    words = text.encode().split()
-    return words, template(words, Codes()).tolist() if words else []
-
-
-def leaks(text, item):
-    (a, ca), (b, cb) = coded(text), coded(item)
-    width = min(WIDTH, len(b))
-    usable = [q for q in range(len(b) - width + 1) if sum(c > NAME_CODE for c in cb[q : q + width]) >= min(LITERAL, width)] if b else []
-    found = [(p, q) for p in range(len(a) - width + 1) for q in usable if ca[p : p + width] == cb[q : q + width]]
-    stretches = []
-    for end in range(len(found)):
-        own = [x for x in found[: end + 1] if x[0] >= found[end][0] - 1.25 * len(b)]
-        pairs = {(bare(b[q + k]), bare(a[p + k])) for p, q in own for k in range(width) if cb[q + k] <= NAME_CODE}
-        stretches.append((len({q for _, q in own}) / len(usable), len({x for x, _ in pairs}) == len(pairs)))
-    top = max((s for s, _ in stretches), default=0)
-    return top >= COVERAGE and any(ok for s, ok in stretches if s == top)
-
-
 def test_stages_and_result_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
     fine = " ".join(f"plain{i} words{i * 7}" for i in range(60))
