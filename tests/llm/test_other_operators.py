@@ -2,29 +2,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from stanzagraph.llm.chat import format_preferences
 from stanzagraph.llm.language import ByteNet, cut, identify
 from stanzagraph.llm.quality_neighbours import TERMS, Space, score_quality, terms
 from stanzagraph.llm.token_counts import TokenRollup, deltas, revisions
 
 
-def test_preferences(spark):
-    turns = "pair_id long, turn long, role string, text string, Chunk int"
-    a = [(1, 0, "user", "q", 0), (1, 1, "assistant", "good", 0), (2, 0, "user", "same", 0), (3, None, "user", None, 0), (3, 70, "assistant", "late", 0)]
-    b = [(1, 0, "user", "q", 0), (1, 1, "assistant", "bad!", 0), (2, 0, "user", "same", 0), (3, None, "user", None, 0)]
-    rows = format_preferences(spark.createDataFrame(a, turns), spark.createDataFrame(b, turns))
-    got = {(r.pair_id, r.chunk): r for r in rows.collect()}
-    one = got[1, 0]
-    assert one.prompt == "<|im_start|>user\nq<|im_end|>\n"
-    for text, spans, want in ((one.chosen, one.chosen_loss, "good"), (one.rejected, one.rejected_loss, "bad!")):
-        lo, hi = map(int, spans.split("-"))
-        assert text[lo:hi] == want + "<|im_end|>\n"
-    assert got[2, 0].chosen == got[2, 0].rejected == "" and "same" in got[2, 0].prompt
-    assert got[3, 0].prompt == "<|im_start|>user\n<|im_end|>\n" and "late" in got[3, 1].chosen and got[3, 1].rejected == ""
-    empty = spark.createDataFrame([], turns)
-    assert format_preferences(empty, empty).count() == 0
-
-
 def test_rollup(spark, tmp_path):
     rows = spark.createDataFrame([("s", "en", 5, 7), ("s", None, 1, 1), (None, "en", None, 2)], "source string, lang string, n long, m long")
     r = TokenRollup(spark, f"file://{tmp_path}/r")
