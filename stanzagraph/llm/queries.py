@@ -15,9 +15,8 @@ QUERIES = {
     "op10_template_decontamination": decontamination.op10_template_decontamination,
 }
 
-#: Packing, suffix arrays, networks and tries are beyond SQL: tests hold them against brute force or held-out labels.
+#: Tokenizers, suffix arrays, networks and tries are beyond SQL: tests hold them against brute force or held-out labels.
 SQL = {
     "op2_chat_preference": chat.OP2_SQL,
     "op5_host_quality_rules": quality_rules.OP5_SQL,
-    "op9_token_rollup": token_counts.OP9_SQL,
 }

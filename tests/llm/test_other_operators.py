@@ -4,21 +4,6 @@ import pytest
 
 from stanzagraph.llm.language import ByteNet, cut, identify
 from stanzagraph.llm.quality_neighbours import TERMS, Space, score_quality, terms
-from stanzagraph.llm.token_counts import TokenRollup, deltas, revisions
-
-
-def test_rollup(spark, tmp_path):
-    rows = spark.createDataFrame([("s", "en", 5, 7), ("s", None, 1, 1), (None, "en", None, 2)], "source string, lang string, n long, m long")
-    r = TokenRollup(spark, f"file://{tmp_path}/r")
-    assert r.totals().count() == 0
-    assert r.commit("a", deltas(rows, 1, "t1", "n")) and not r.commit("a", deltas(rows, 1, "t1", "n"))
-    assert r.commit("b", revisions(rows, "t1", "n", "m"))
-    state = lambda: sorted(map(str, r.totals().collect()))
-    before = state()
-    r.compact()
-    assert state() == before and not r.commit("b", deltas(rows, 1, "t1", "n")) and r.batches() == {"a", "b"}
-    r.commit("c", deltas(rows, -1, "t1", "m"))
-    assert state() == []
 
 
 def test_quality_space(spark):
