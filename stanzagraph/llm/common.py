@@ -102,6 +102,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders of staged tables, in the order they were written.
+STAGED: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing will read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        STAGED.remove(p)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
@@ -111,6 +124,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

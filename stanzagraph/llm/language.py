@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import pick
+from stanzagraph.llm.common import give_back, pick, slices
 
 #: Bytes of a window, numbers a byte is embedded in, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 6, (2, 3, 4), 12
 SPAN = max(WIDTHS)
-#: Documents that are learnt from, at most, and windows of each, spread over its text.
-LEARNT, WINDOWS_EACH = 3000, 6
+#: Windows that are learnt from, about: a sample of all windows of all texts that may be learnt.
+LEARNT = 20_000
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 #: Windows that are convolved at once.
 AT_ONCE = 256
@@ -32,6 +32,16 @@ def cut(raw: bytes) -> np.ndarray:
     return LOWER[np.frombuffer(raw.ljust(n * WINDOW), np.uint8)].reshape(n, WINDOW)
 
 
+def hashes(windows: np.ndarray) -> np.ndarray:
+    """64 bits of each window's bytes."""
+    words = np.ascontiguousarray(windows).view(np.uint64)
+    h = np.zeros(len(words), np.uint64)
+    for c in range(words.shape[1]):
+        h = (h ^ words[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
 @dataclass
 class ByteNet:
     """Embedding, filters of several widths in one matrix, max pooling, softmax."""
@@ -111,26 +121,27 @@ class ByteNet:
 
 
 def fit_languages(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LEARNT) -> ByteNet:
-    """A network learnt from at most ``most`` documents with a language for which ``learn`` (on doc_id) holds.
+    """A network learnt from about ``most`` windows of documents with a language for which ``learn`` (on doc_id) holds.
 
-    They are those whose ids hash lowest. Each gives windows spread over its whole text.
+    The sample is drawn from all windows of all these texts: those whose bytes hash below
+    the share that ``most`` is of them, so it is the same whatever the order or number of
+    rows, and a window that stands in very many documents is learnt once a language.
     """
     known = pick(docs, doc_id=doc_id, text=text, lang=lang).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    hashed = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if hashed is None:
-        return ByteNet.new([])
+    total = known.agg(F.sum(F.ceil(F.octet_length("text") / WINDOW))).first()[0] or 0
+    below = np.uint64(min(2**64 - 1, most * 2**64 // max(1, total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in slices(batches, 1):
             rows = []
-            for language, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for language, raw in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 got = cut(raw)
-                for k in np.unique(np.linspace(0, len(got) - 1, WINDOWS_EACH).astype(int)) if len(got) else []:
-                    rows.append((language, got[k].tobytes()))
+                rows += [(language, w.tobytes()) for w in got[hashes(got) <= below]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "window"])
+        give_back()
 
-    chosen = known.filter(F.xxhash64("doc_id") <= hashed).select("lang", F.col("text").cast("binary"))
-    rows = sorted((r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(run, "lang string, window binary").limit(2 * most * WINDOWS_EACH).collect())
+    chosen = known.select("lang", F.col("text").cast("binary")).mapInArrow(run, "lang string, window binary").distinct()
+    rows = sorted((r["lang"], bytes(r["window"])) for r in chosen.collect())
     languages = sorted({r[0] for r in rows})
     net = ByteNet.new(languages)
     if rows:
@@ -146,32 +157,32 @@ def identify(docs: DataFrame, net: ByteNet, doc_id: str = "doc_id", text: str =
     the windows give the language.
 
     Null texts, texts without a letter, and all texts if nothing was learnt: und, score 0.
-    Repeated rows: each returned. Empty table: no rows. Extra columns are ignored.
+    Ties: of equally likely languages the first by name. Very long texts: all their windows
+    count, AT_ONCE at a time. Repeated rows: each returned. Empty table: no rows. Extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(net))  # plain arrays: executors need not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = ByteNet(**shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                texts = [t or b"" for t in some.column(1).to_pylist()]
-                lettered = [bool(net.languages) and any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in texts]
-                names, scores = ["und"] * len(texts), [0.0] * len(texts)
-                own = [i for i, ok in enumerate(lettered) if ok]
-                if own:
-                    parts = [cut(texts[i]) for i in own]
-                    log_p = net.log_probabilities(np.concatenate(parts))
-                    begin = 0
-                    for i, part in zip(own, parts, strict=True):
-                        lp = log_p[begin : begin + len(part)]
-                        begin += len(part)
-                        weight = np.full(len(part), WINDOW, float)
-                        weight[-1] = len(texts[i]) - WINDOW * (len(part) - 1)
-                        weight /= weight.sum()
-                        best = int((weight @ lp).argmax())
-                        names[i], scores[i] = net.languages[best], float(min(1.0, weight @ np.exp(lp[:, best])))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+        for some in slices(batches, 1, 64):
+            texts = [t or b"" for t in some.column(1).to_pylist()]
+            lettered = [bool(net.languages) and any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in texts]
+            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            own = [i for i, ok in enumerate(lettered) if ok]
+            if own:
+                parts = [cut(texts[i]) for i in own]
+                log_p = net.log_probabilities(np.concatenate(parts))
+                begin = 0
+                for i, part in zip(own, parts, strict=True):
+                    lp = log_p[begin : begin + len(part)]
+                    begin += len(part)
+                    weight = np.full(len(part), WINDOW, float)
+                    weight[-1] = len(texts[i]) - WINDOW * (len(part) - 1)
+                    weight /= weight.sum()
+                    best = int((weight @ lp).argmax())
+                    names[i], scores[i] = net.languages[best], float(min(1.0, weight @ np.exp(lp[:, best])))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+        give_back()
 
     return pick(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import pick
+from stanzagraph.llm.common import give_back, pick, slices
 
 #: Labelled documents that vote, at most: those whose ids hash lowest.
 LABELLED = 6000
@@ -96,31 +96,38 @@ class Space:
         cosines = self.embed(counts) @ self.vectors.T
         k = min(NEIGHBOURS, cosines.shape[1])
         near = np.argpartition(cosines, cosines.shape[1] - k, axis=1)[:, -k:]
-        weight = np.clip(np.take_along_axis(cosines, near, 1), 0, 1).astype(np.float64) ** POWER
-        total = weight.sum(axis=1)
-        score = np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+        top = np.take_along_axis(cosines, near, 1)
+        weight = np.clip(top, 0, 1).astype(np.float64) ** POWER
+        total, votes = weight.sum(axis=1), (weight * self.labels[near]).sum(axis=1)
+        last = top.min(axis=1, keepdims=True)
+        for i in np.flatnonzero((cosines >= last).sum(axis=1) > k):  # as near as the last of them: all vote
+            own = np.flatnonzero(cosines[i] >= last[i])
+            w = np.clip(cosines[i, own], 0, 1).astype(np.float64) ** POWER
+            total[i], votes[i] = w.sum(), w @ self.labels[own]
+        score = np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior)
         return np.clip(score, 0, 1)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            some = batch.slice(at, ROWS)
-            rows = [terms(t or b"").tobytes() for t in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.binary())], names=["label", "counts"])
+    for some in slices(batches, 2, ROWS):
+        rows = [terms(t or b"").tobytes() for t in some.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(rows, pa.binary())], names=["doc_id", "label", "counts"])
+    give_back()
 
 
 def fit_neighbours(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most: int = LABELLED) -> Space:
     """The space of at most ``most`` labelled documents for which ``learn`` (on doc_id) holds.
 
-    They are those whose ids hash lowest, so the sample is the same each time. Rows with a
-    null id or label don't count; several labels of one document count as their mean.
+    They are those whose ids hash lowest, and of one id those whose terms hash lowest, so the
+    sample is the same each time. Rows with a null id or label don't count; several labels of
+    one document count as their mean. Only ``most`` ids are sent to the texts' tasks, and
+    ``most`` rows come back.
     """
     known = pick(labels, doc_id=doc_id, label=label).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learn)
     means = known.groupBy("doc_id").agg(F.avg("label").alias("label"))
     chosen = means.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select("label", F.col("text").cast("binary"))
-    rows = texts.mapInArrow(counted, "label double, counts binary").limit(2 * most).collect()
+    texts = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.col("text").cast("binary"))
+    rows = texts.mapInArrow(counted, "doc_id long, label double, counts binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("counts")).limit(most).collect()
     if not rows:
         return Space.fit(np.zeros((0, TERMS), np.float32), np.zeros(0))
     rows.sort(key=lambda r: (r["label"], bytes(r["counts"])))
@@ -133,19 +140,19 @@ def score_quality(docs: DataFrame, space: Space, doc_id: str = "doc_id", text: s
     Every document's cosines to all labelled vectors are computed exactly, block by block;
     the nearest vote with weights. The space has a fixed size (LABELLED x DIMENSIONS).
 
-    Null and empty texts have no direction and get the prior, the labels' mean. Without
-    labels the score is 0.5. Repeated rows: each returned. Empty table: no rows. Extra
+    Null and empty texts have no direction and get the prior, the labels' mean. Ties: all
+    labelled documents as near as the last neighbour vote. Very long texts are counted whole,
+    a part at a time. Without labels the score is 0.5. Repeated rows: each returned. Empty table: no rows. Extra
     columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(space))  # plain arrays: executors need not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(**shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                score = space.score(np.stack([terms(t or b"") for t in some.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(score)], names=["doc_id", "score"])
+        for some in slices(batches, 1, ROWS):
+            score = space.score(np.stack([terms(t or b"") for t in some.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(score)], names=["doc_id", "score"])
+        give_back()
 
     scored = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -78,10 +78,13 @@ def assign_shards(df: DataFrame, key: str, shards: int = 24, virtual_nodes: int
     a shard is added, a row moves only if its arc is split or its overflow shifts.
 
     The driver sees counts by arc (shards x virtual nodes) and plans ranks within arcs.
-    Ranks are counted within tasks and laid end to end, so a key that a third of all rows
-    share is never gathered.
+    Ranks follow the keys' hashes, then the rows' contents, so which rows of an arc overflow
+    doesn't hang on the order of the input. Rows are dealt by ranges of these, with a salt
+    behind them, and counted within tasks that are laid end to end, so a key or a row that a
+    third of all rows repeat is never gathered.
 
-    Null keys: all hash to one place, and overflow like a hot key. Repeated rows: each
+    Null keys: all hash to one place, and overflow like a hot key. Ties (equal keys): by the
+    other columns. Very long texts aren't looked at but for the tie. Repeated rows: each
     gets its own slot. Empty table: no rows. Input columns called shard or slot are
     replaced; other columns are kept, also those that share the helper columns' names.
     """
@@ -106,8 +109,11 @@ def assign_shards(df: DataFrame, key: str, shards: int = 24, virtual_nodes: int
 
     from pyspark.sql import types as T
 
+    spread = flat.withColumn("at", at).withColumn("tie", F.xxhash64(*[F.col(c) for c in inner])).withColumn("salt", F.monotonically_increasing_id())
+    keys = ["at", "tie", "salt"]
+    dealt = spread.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).drop("tie", "salt")
     extra = [T.StructField("arc", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("local_rank", T.LongType())]
-    rows = staged(flat.withColumn("at", at).mapInArrow(number, T.StructType([*flat.schema.fields, *extra])), "arcs")
+    rows = staged(dealt.mapInArrow(number, T.StructType([*flat.schema.fields, *extra])), "arcs")
     counts = np.zeros(len(points), np.int64)
     for r in rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["arc"]] = r["n"]

@@ -8,10 +8,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import partitions_for, pick, staged
+from stanzagraph.llm.common import give_back, partitions_for, pick, slices, staged
 from stanzagraph.llm.graph import components
 
 SEED = 42
@@ -42,17 +43,22 @@ def fingerprint(raw: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(fp, row, columns ``keep`` as keep_0, keep_1 and so on): fp is the fingerprint's bits as a signed long, row a number of the row."""
+    keep = keep or []
+    names = [f"keep_{i}" for i in range(len(keep))]
+    picked = pick(docs, raw=text, **dict(zip(names, keep, strict=True))).withColumn("raw", F.col("raw").cast("binary"))
+    fields = "".join(f", {n} {picked.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                fps = np.asarray([fingerprint(t or b"") for t in some.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        at = TaskContext.get().partitionId() << 40
+        for some in slices(batches, 0):
+            fps = np.asarray([fingerprint(t or b"") for t in some.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(np.arange(at, at + len(fps))), *some.columns[1:]], names=["fp", "row", *names])
+            at += len(fps)
+        give_back()
 
-    return pick(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(run, "fp long, row long" + fields)
 
 
 def union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,23 +180,48 @@ def similar(reps: DataFrame, n: int, budget: int) -> DataFrame:
     return rows.repartition(parts, "t", "shared").mapInArrow(run, "a long, b long")
 
 
+def firsts(rows: DataFrame, least: Column, budget: int) -> DataFrame:
+    """(fp, first): for each fingerprint, the least value of its group of near-duplicates.
+
+    Equal fingerprints are one row before any comparison.
+    """
+    reps = staged(rows.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
+    roots = components(similar(reps, reps.count(), budget)).withColumnRenamed("node", "fp")
+    rooted = reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return staged(rooted.join(named, "root").select("fp", "first"), "components")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
     Fingerprints link at ``budget`` or fewer differing bits; component_id is the smallest
-    doc_id that links reach. Equal fingerprints are one row before any comparison.
+    doc_id that links reach.
 
     Null and wordless texts have fingerprint 0 and link like others. Null doc_ids are
-    never a component_id unless a component has no other. Repeated rows: each returned.
-    Empty table: no rows. Extra columns are ignored.
+    never a component_id unless a component has no other. Very long texts are hashed whole.
+    Ties: equal fingerprints are one point. Repeated rows: each returned. Empty table: no
+    rows. Extra columns are ignored.
     """
-    rows = staged(fingerprints(docs, doc_id, text), "fingerprints")
-    reps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(similar(reps, reps.count(), budget)).withColumnRenamed("node", "fp")
-    rooted = reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = staged(rooted.join(named, "root").select("fp", "component_id"), "components")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    rows = staged(fingerprints(docs, text, [doc_id]).withColumnRenamed("keep_0", "doc_id"), "fingerprints")
+    return rows.join(firsts(rows, F.col("doc_id"), budget), "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, columns: list[str], budget: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with ``columns``: that with the least doc_id.
+
+    Null doc_ids stand behind all others. Of rows with one doc_id the one whose columns hash
+    lowest stays, of identical rows any one. Groups may share a doc_id: each keeps a row.
+    Rows are chosen by a number of their own, so groups and copies that a third of all rows
+    are don't meet in one task.
+    """
+    content = F.xxhash64(*[F.col(f"keep_{i}") for i in range(len(columns))])
+    keep = [*columns, doc_id]
+    rows = staged(fingerprints(docs, text, keep), "fingerprints")
+    own = F.col(f"keep_{len(columns)}")
+    chosen = firsts(rows, F.struct(own.isNull().alias("none"), own.alias("id"), content.alias("content"), F.col("row").alias("row")), budget)
+    picked = chosen.select(F.col("first.row").alias("row")).distinct()
+    return rows.join(picked, "row", "left_semi").select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

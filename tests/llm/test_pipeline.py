@@ -6,6 +6,7 @@ import public_tokenizers
 from brute_leaks import leaks
 from pyspark.sql import functions as F
 from test_quality_rules import brute as brute_rules
+from test_quality_rules import verdicts
 from test_simhash import brute_fp, roots
 from tokenizers import Tokenizer
 
@@ -23,10 +24,8 @@ def rules(rows):
     hosts = defaultdict(list)
     for r in rows:
         hosts[r[3]].append(failed(r[1]))
-    rates = [np.mean(v) for v in hosts.values()]
-    m, v = np.mean(rates), np.var(rates, ddof=1) if len(rates) > 1 else 0
-    k = min(max(m * (1 - m) / v - 1, 1), 10000) if v > 0 else 10000
-    return [r for r in rows if not failed(r[1]) and (sum(hosts[r[3]]) + m * k) / (len(hosts[r[3]]) + k) <= 0.5]
+    refused = verdicts({h: (len(v), sum(v)) for h, v in hosts.items()})
+    return [r for r in rows if not failed(r[1]) and not refused[r[3]][1]]
 
 
 def near(rows):
@@ -93,6 +92,27 @@ def test_stages_and_result_against_brute_force(spark, tmp_path):
     assert len(held) <= 1 + 1.1 * sum(x[3] for x in cut) / 4096
 
 
+def test_groups_that_share_an_id_each_keep_a_row(spark):
+    rng = np.random.default_rng(2)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(2))
+    rows = [(5, a), (7, a), (5, b), (9, b), (None, a), (None, "alone " + b[::-1]), (None, "alone " + b[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, Text int")
+    got = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", a), ("5", b), ("None", "alone " + b[::-1])])
+
+
+def test_all_stages_with_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = [(i, text(70), "en", "s", 1, i, None) for i in range(12)] + [(50, text(30_000), None, None, None, 7, 1.5), (None, text(60), "en", "s", 1, 0, 0.0)]
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sequence_id int, key double").write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    assert sum(r.length for r in got if r.doc_id == 50) > 30_000 and max(r.piece for r in got if r.doc_id == 50) > 5
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -1,6 +1,8 @@
+import zlib
+
 import numpy as np
 
-from stanzagraph.llm.sharding import assign_shards, plan_loads, ring
+from stanzagraph.llm.sharding import assign_shards, mix64, op4_consistent_hash_sharding, plan_loads, ring
 
 
 def shards_of(rows, n=24):
@@ -42,3 +44,36 @@ def test_adding_a_shard_moves_few_rows(spark):
 def test_ring_is_even():
     points, owner = ring(24, 128)
     assert len(points) == 24 * 128 and (np.diff(points) > 0).all() and np.bincount(owner).tolist() == [128] * 24
+
+
+def test_shards_do_not_hang_on_the_order_of_rows(spark):
+    rows = [(i if i % 3 else 77, f"text {i % 500}", i) for i in range(4000)]
+    made = [assign_shards(spark.createDataFrame(x, "id long, text string, n int").repartition(k), "id") for x, k in ((rows, 3), (rows[::-1], 8))]
+    one, two = ({r.n: (r.shard, r.slot) for r in df.collect()} for df in made)
+    assert one == two
+
+
+def test_the_query(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op4_consistent_hash_sharding(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in want.items()} and len(got) == len(want)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert sum(shards_of(got)) == len(got)
+
+
+def test_loads_are_bounded_and_rows_go_clockwise(spark):
+    """Every row is on its own arc's shard or on a later one, all shards between being full."""
+    ids = [*range(3000), *[5] * 900]
+    got = assign_shards(spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "xxhash64(id) h"), "id", 24).collect()
+    points, owner = ring(24, 128)
+    loads = np.bincount([r.shard for r in got], minlength=24)
+    cap = -(-len(ids) // 24)
+    assert loads.max() <= cap
+    for r in got:
+        arc = int(np.searchsorted(points, mix64(np.array([r.h], np.int64).view(np.uint64))[0], "left")) % len(points)
+        passed = []
+        while owner[arc] != r.shard:
+            passed.append(owner[arc])
+            arc = (arc + 1) % len(points)
+        assert all(loads[s] >= cap - 1 for s in passed)
