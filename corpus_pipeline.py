@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import pick, staged
+from stanzagraph.llm.common import STAGED, discard, staged
 from stanzagraph.llm.decontamination import find_leaks
 from stanzagraph.llm.packing import packed_digest
 from stanzagraph.llm.quality_rules import apply_rules
-from stanzagraph.llm.simhash import near_duplicates
+from stanzagraph.llm.simhash import first_of_groups
 from stanzagraph.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,18 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates.
-
-    A null doc_id stands behind all others: until the group is known such a row goes by a
-    number from 2^62 up that its content gives. Rows with one doc_id are one document; of
-    them the one with the least hash of its text stays.
-    """
-    content = F.xxhash64("text", "lang", "source", "n_chars")
-    late = F.lit(2**62) + content.bitwiseAND(F.lit(2**62 - 1))
-    keyed = pick(docs, **{c: c for c in COLUMNS}).withColumn("key", F.coalesce("doc_id", late))
-    first = near_duplicates(keyed, doc_id="key").filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text"), content))
-    return keyed.join(first, "key", "left_semi").withColumn("rank", rank).filter("rank = 1").select(*COLUMNS)
+    """The document with the least id of each group of near-duplicates; a null doc_id stands behind all others."""
+    return first_of_groups(docs, COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; each one's inner tables and its input go when its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(STAGED)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(spark, STAGED[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
