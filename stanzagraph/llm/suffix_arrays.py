@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
+#: Strings of so many letters are sorted as they are.
+FEW = 64
+
+
 def suffix_types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one (S-type). s ends in a unique 0."""
     n = len(s)
@@ -32,79 +34,88 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.nd
     starts = np.r_[0, ends[:-1]]
     sa = np.full(n, -1, np.int32)
 
-    def put(wave: np.ndarray, kind: bool, heads: np.ndarray, step: int) -> None:
-        """The suffixes one to the left of the wave's, if of this kind, to the heads of their buckets."""
+    count = np.arange(n)
+
+    def found(wave: np.ndarray, kind: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes one to the left of the wave's, if of this kind, and their first letters."""
         q = wave[wave > 0] - 1
         q = q[small[q] == kind]
-        if not len(q):
+        return q, s[q]
+
+    def put(q: np.ndarray, letters: np.ndarray, heads: np.ndarray, step: int) -> None:
+        """Suffixes in the sweep's order to the heads of their buckets."""
+        m = len(q)
+        if m < 2:
+            if m:
+                sa[heads[letters[0]]] = q[0]
+                heads[letters[0]] += step
             return
-        letters = s[q]
-        order = np.argsort(letters, kind="stable")
-        q, letters = q[order], letters[order].astype(np.int64)
-        new = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
-        many = np.diff(np.r_[new, len(q)])
-        rank = np.arange(len(q)) - np.repeat(new, many)
-        sa[heads[letters] + step * rank] = q
-        heads[letters[new]] += step * many
-
-    def free(wave: np.ndarray, kind: bool, pick: Callable[[np.ndarray], int], inside: Callable[[np.ndarray], np.ndarray]) -> int | None:
-        """The first bucket in the sweep's order, of those in hand, that the wave puts something into."""
-        q = wave[wave > 0] - 1
-        letters = s[q[small[q] == kind]]
-        letters = letters[inside(letters)]
-        return int(pick(letters)) if len(letters) else None
+        order = letters.argsort(kind="stable")
+        q, letters = q[order], letters[order]
+        new = np.empty(m, bool)
+        new[0] = True
+        np.not_equal(letters[1:], letters[:-1], out=new[1:])
+        first = new.nonzero()[0]
+        many = np.empty(len(first), np.int64)
+        many[-1] = m - first[-1]
+        np.subtract(first[1:], first[:-1], out=many[:-1])
+        sa[heads[letters] + step * (count[:m] - first.repeat(many))] = q
+        heads[letters[first]] += step * many
 
     letters = s[seeds]
-    places = ends[letters] - (np.searchsorted(letters, letters, "right") - np.arange(len(seeds)))
+    places = ends[letters] - (np.cumsum(np.bincount(letters, minlength=k))[letters] - count[: len(seeds)])
     sa[places] = seeds
     heads, c, wide = starts.copy(), 0, 1
     while c < k:
         upto = min(k, c + wide)
-        wave = sa[starts[c] : ends[upto - 1]]
-        met = free(wave, False, np.min, lambda x: x < upto)
-        if met is None:
-            put(wave, False, heads, 1)
-            c, wide = upto, 2 * wide
-        elif met > c:
-            put(sa[starts[c] : starts[met]], False, heads, 1)
-            c, wide = met, max(1, met - c)
-        else:
-            done = starts[c]
-            while done < heads[c]:
-                now = heads[c]
-                put(sa[done:now].copy(), False, heads, 1)
-                done = now
-            put(sa[heads[c] : ends[c]], False, heads, 1)
-            c += 1
+        q, letters = found(sa[starts[c] : ends[upto - 1]], False)
+        inside = letters[letters < upto]
+        met = int(inside.min()) if len(inside) else upto
+        if met > c:
+            if met < upto:
+                own = s[q + 1] < met
+                q, letters = q[own], letters[own]
+            put(q, letters, heads, 1)
+            c, wide = met, 2 * wide if met == upto else met - c
+            continue
+        done = starts[c]
+        while done < heads[c]:
+            now = heads[c]
+            put(*found(sa[done:now], False), heads, 1)
+            done = now
+        put(*found(sa[heads[c] : ends[c]], False), heads, 1)
+        c += 1
     sa[places] = -1  # the second sweep fills them again; but nothing puts the sentinel
     sa[0] = n - 1
     tails, c, wide = ends - 1, k - 1, 1
     while c >= 0:
         down = max(0, c - wide + 1)
-        wave = sa[starts[down] : ends[c]][::-1]
-        met = free(wave, True, np.max, lambda x: x >= down)
-        if met is None:
-            put(wave, True, tails, -1)
-            c, wide = down - 1, 2 * wide
-        elif met < c:
-            put(sa[ends[met] : ends[c]][::-1], True, tails, -1)
-            c, wide = met, max(1, c - met)
-        else:
-            done = ends[c] - 1
-            while done > tails[c]:
-                now = tails[c]
-                put(sa[now + 1 : done + 1][::-1].copy(), True, tails, -1)
-                done = now
-            put(sa[starts[c] : tails[c] + 1][::-1], True, tails, -1)
-            c -= 1
+        q, letters = found(sa[starts[down] : ends[c]][::-1], True)
+        inside = letters[letters >= down]
+        met = int(inside.max()) if len(inside) else down - 1
+        if met < c:
+            if met >= down:
+                own = s[q + 1] > met
+                q, letters = q[own], letters[own]
+            put(q, letters, tails, -1)
+            c, wide = met, 2 * wide if met < down else c - met
+            continue
+        done = ends[c] - 1
+        while done > tails[c]:
+            now = tails[c]
+            put(*found(sa[now + 1 : done + 1][::-1], True), tails, -1)
+            done = now
+        put(*found(sa[starts[c] : tails[c] + 1][::-1], True), tails, -1)
+        c -= 1
     return sa
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of ``s``: letters below ``k``, the last a 0 that occurs nowhere else."""
     n = len(s)
-    if n < 3:
-        return np.arange(n, dtype=np.int32)[::-1]
+    if n <= FEW:
+        letters = s.tolist()
+        return np.asarray(sorted(range(n), key=lambda i: letters[i:]), np.int32)
     small = suffix_types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
     if len(lms) < 2:
