@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import sys
 import tempfile
 import uuid
@@ -31,7 +30,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def per_process(key: tuple, make: Callable[[], Any]) -> Any:
-    """What ``make`` made when this process first asked for ``key``: Python workers run many tasks."""
+    """What ``make`` made when this process first asked for ``key``: Python workers run many tasks.
+
+    Until another operator's task runs there: see give_back().
+    """
     kept = sys.__dict__.setdefault("_stanzagraph_kept", {})
     if key not in kept:
         kept[key] = make()
@@ -56,9 +58,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = SLICE_ROWS,
             at = end
 
 
-def give_back() -> None:
-    """Return freed memory to the system: idle Python workers live on beside those of the next stage."""
-    gc.collect()
+def give_back(keep: bool = False) -> None:
+    """Return freed memory to the system: idle Python workers live on beside those of the next stage.
+
+    Without ``keep``, what per_process() made for another operator's tasks is freed as well.
+    """
+    if not keep:
+        sys.__dict__.get("_stanzagraph_kept", {}).clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -67,7 +73,11 @@ def give_back() -> None:
 
 
 class Bounded(dict):
-    """Values by short keys, at most ``most`` bytes of both with what Python needs for them; full, it starts anew."""
+    """Values by short keys, in at most ``most`` bytes of both with what Python needs for them.
+
+    Full, it takes no more: what is met first is met most. But if four times as many keys
+    as it holds were not there since, it starts anew.
+    """
 
     #: Longer keys are seldom met again, and aren't kept.
     LONGEST = 64
@@ -76,16 +86,20 @@ class Bounded(dict):
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.held = most, 0
+        self.most, self.held, self.missed = most, 0, 0
 
-    def keep(self, key: str | bytes, value: Any, size: int) -> None:
+    def keep(self, key: str | bytes, value: Any, size: int = 0) -> None:
         if len(key) > self.LONGEST:
             return
-        self.held += len(key) + size + self.ENTRY
-        if self.held > self.most:
+        size += len(key) + self.ENTRY
+        if self.held + size <= self.most:
+            self.held += size
+            self[key] = value
+            return
+        self.missed += 1
+        if self.missed > 4 * len(self):
             self.clear()
-            self.held = len(key) + size + self.ENTRY
-        self[key] = value
+            self.held = self.missed = 0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,6 +129,16 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         STAGED.remove(p)
 
 
+def reads(df: DataFrame) -> str:
+    """The folders that ``df`` is read from, as one text."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found.append(leaf.relation().location().rootPaths().toString())
+    return " ".join(found)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 

@@ -19,8 +19,8 @@ from stanzagraph.llm.common import Bounded, give_back, per_process, pick, slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Bytes that a worker's ids of chunks, and of lower-case words, may take; freed with the task.
-REMEMBERED = 24 << 20
+#: Bytes that a worker's ids of chunks, of lower-case words and of signs after them may take.
+REMEMBERED = 100 << 20, 60 << 20, 4 << 20
 
 
 def byte_letters() -> str:
@@ -49,7 +49,7 @@ class WordTokens:
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words, self.signs = Bounded(REMEMBERED), Bounded(REMEMBERED), Bounded(REMEMBERED // 8)
+        self.chunks, self.words, self.signs = map(Bounded, REMEMBERED)
         self.merges = None
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -69,6 +69,9 @@ class WordTokens:
 
     def word(self, word: str) -> bytes | None:
         """Ids of a word of Latin letters; None if it turns out to hold anything else."""
+        ids = self.words.get(word)
+        if ids is not None:
+            return ids
         if word.isascii():
             low = spelt = word.lower()
         else:
@@ -76,7 +79,7 @@ class WordTokens:
             if not low.isalpha():
                 return None
             spelt = low.encode().decode("latin-1").translate(self.letters)
-        ids = self.words.get(low)
+        ids = None if low is word else self.words.get(low)
         if ids is None:
             got = [t.id for t in self.merges.tokenize(spelt)]
             ids = struct.pack(f"<{len(got)}I", *got)
@@ -86,7 +89,7 @@ class WordTokens:
     def chunk(self, chunk: str) -> bytes:
         ids = None
         base = chunk.rstrip(string.punctuation)
-        if self.merges is not None and base.isalpha() and max(base) < "\u0250":
+        if self.merges is not None and base.isalpha() and (base.isascii() or max(base) < "\u0250"):
             ids = self.word(base)
             if ids is not None and len(base) < len(chunk):
                 end = chunk[len(base) :]
@@ -106,13 +109,6 @@ class WordTokens:
         known, chunk = self.chunks.get, self.chunk
         return b"".join([known(c) or chunk(c) for c in text.split()])
 
-    def forget(self) -> None:
-        """Free what was remembered; the tokenizer stays."""
-        for kept in (self.chunks, self.words, self.signs):
-            kept.clear()
-            kept.held = 0
-        give_back()
-
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids, numbered by length within each task."""
@@ -135,7 +131,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: in
                     rows.append((doc_id, piece, start, n, own, part, int(seen[n])))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        words.forget()
+        give_back(keep=True)
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, PIECES)
 

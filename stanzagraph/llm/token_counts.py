@@ -32,11 +32,11 @@ def revisions(rows: DataFrame, tokenizer: str, before: str, after: str) -> DataF
     return own.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("long").alias("documents"), change.cast("long").alias("tokens"))
 
 
-def counter(name: str, path: str) -> tuple[Callable[[str], int], Callable[[], None]]:
-    """How a tokenizer's file counts a text, and what frees its memory: .json of tokenizers, .tiktoken of tiktoken."""
+def counter(name: str, path: str) -> Callable[[str], int]:
+    """How a tokenizer's file counts a text: .json of tokenizers, .tiktoken of tiktoken."""
     if path.endswith(".json"):
         words = per_process(("words", path), lambda: WordTokens(path))
-        return lambda text: len(words.encode(text)) // 4, words.forget
+        return lambda text: len(words.encode(text)) // 4
 
     def ranks():  # noqa: ANN202
         import public_tokenizers
@@ -47,7 +47,7 @@ def counter(name: str, path: str) -> tuple[Callable[[str], int], Callable[[], No
         return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=made, special_tokens={})
 
     encoding = per_process(("ranks", path), ranks)
-    return lambda text: len(encoding.encode_ordinary(text)), give_back
+    return lambda text: len(encoding.encode_ordinary(text))
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -68,10 +68,9 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text"
         count = [counter(name, path) for name, path in tokenizers.items()]
         for some in slices(batches, 0):
             texts = [(t or b"").decode("utf-8", "replace") for t in some.column(0).to_pylist()]
-            counts = [pa.array([of(t) for t in texts], pa.int64()) for of, _ in count]
+            counts = [pa.array([of(t) for t in texts], pa.int64()) for of in count]
             yield pa.RecordBatch.from_arrays([*some.columns[1:], *counts], names=[*names, *[f"count_{i}" for i in range(len(count))]])
-        for _, free in count:
-            free()
+        give_back(keep=True)
 
     return picked.mapInArrow(run, fields).toDF(*keep, *tokenizers)
 
