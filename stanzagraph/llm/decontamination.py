@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import SALTS, Bounded, give_back, partitions_for, pick, salted_join, slices, staged
+from stanzagraph.llm.common import SALTS, STAGED, Bounded, discard, give_back, partitions_for, pick, salted_join, slices, staged
 
 #: Words of a window, and the share of an item's windows that a document must have.
 WIDTH, COVERAGE = 5, 0.8
@@ -23,8 +23,10 @@ WIDTH, COVERAGE = 5, 0.8
 LITERAL = 3
 #: Kinds of windows: templates with names, plain forms, and plain forms word for word.
 NAMED, PLAIN, EXACT = range(3)
-#: Bits of the filter that every task gets: 64 a probe, between these powers of two (128 kB and 32 MB).
+#: Bits of the Bloom filter that every task gets: 64 a probe, between these powers of two (128 kB and 32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
+#: What gives a hash its places in the filter.
+PLACES = np.random.default_rng(8).integers(0, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes that a worker's codes of words may take; freed with the task.
 REMEMBERED = 24 << 20
 #: Pairs of document and form, and bytes of documents, that are checked in one group on average.
@@ -398,14 +400,26 @@ def rarest(forms: DataFrame) -> DataFrame:
     return each.join(shared, "h").withColumn("rank", rank).filter(F.col("rank") <= needed).select("h", "form").distinct()
 
 
+def places(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    return h * PLACES[k] >> np.uint64(64 - bits)
+
+
 def filter_of(probes: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """Bits of a hash that the filter looks at, and the filter: a bit for each value, set for the probes'.
+    """Bits of a place, and a Bloom filter of the probes' hashes.
 
     Its size follows the probes up to 32 MB; of a larger benchmark it lets more of other windows pass.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
-    place = F.shiftrightunsigned("h", 64 - bits) + 1
-    rows = probes.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([places(h, bits, k) for k in range(len(PLACES))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
+
+    place = F.col("place") + 1
+    set_bits = probes.select("h").mapInArrow(run, "place long")
+    rows = set_bits.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")).collect()
     held = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
         part = np.frombuffer(bytes(r["bitmap"]), np.uint8)
@@ -447,6 +461,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     names = [f"carry_{i}" for i in range(len(carry))]
     rows = pick(docs, doc_id=doc_id, text=text, **dict(zip(names, carry, strict=True))).withColumn("text", F.col("text").cast("binary")).withColumn("key", F.unhex(F.md5("text")))
     items = pick(benchmark, item_id=item_id, text=item_text).select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
+    before = len(STAGED)
     forms = staged(as_forms(items), "forms")
     probes = staged(rarest(forms), "probes")
     bits, held = filter_of(probes, probes.count())
@@ -462,16 +477,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 hits = []
                 for kind, width in widths:
                     h = text.windows(kind, width)
-                    at = h >> np.uint64(64 - bits)
-                    hits.append(h[held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1])
+                    for k in range(len(PLACES)):
+                        at = places(h, bits, k)
+                        h = h[held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                    hits.append(h)
                 hits = np.unique(np.concatenate(hits)) if hits else []
-                if len(hits) and key not in seen:
-                    seen.keep(key, True, 0)
+                if len(hits) and not seen.get(key):
+                    seen.keep(key, True)
                     out.append((key, raw, hits.view(np.int64).tolist()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], names=["key", "text", "hits"])
         known.forget()
-        seen.clear()
         give_back()
 
     hits = staged(rows.filter("text is not null").select("key", "text").mapInArrow(probe, "key binary, text binary, hits array<long>"), "hits")
@@ -510,6 +526,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["key", "n_items", "item_id", "coverage", "kind"])
 
     verdicts = staged(hits.select("key", "text", group).groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(check, VERDICTS), "verdicts")
+    discard(spark, STAGED[before:-1])
     if verdicts.count() * VERDICT <= BROADCAST:
         out = rows.join(F.broadcast(verdicts), "key", "left")
     else:

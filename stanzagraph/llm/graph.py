@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import staged
+from stanzagraph.llm.common import STAGED, discard, staged
 
 #: Far more rounds than the logarithm of any graph's size asks for.
 MOST_ROUNDS = 60
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
         small = large.join(low, F.col("v") == F.col("w")).select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").filter("v <> u").distinct()
         now = staged(small, "links")
+        discard(now.sparkSession, STAGED[-2:-1])
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if state == known:
             break

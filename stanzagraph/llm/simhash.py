@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import give_back, partitions_for, pick, slices, staged
+from stanzagraph.llm.common import STAGED, discard, give_back, partitions_for, pick, slices, staged
 from stanzagraph.llm.graph import components
 
 SEED = 42
@@ -185,11 +185,14 @@ def firsts(rows: DataFrame, least: Column, budget: int) -> DataFrame:
 
     Equal fingerprints are one row before any comparison.
     """
+    before = len(STAGED)
     reps = staged(rows.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
     roots = components(similar(reps, reps.count(), budget)).withColumnRenamed("node", "fp")
     rooted = reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    return staged(rooted.join(named, "root").select("fp", "first"), "components")
+    out = staged(rooted.join(named, "root").select("fp", "first"), "components")
+    discard(out.sparkSession, STAGED[before:-1])
+    return out
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
