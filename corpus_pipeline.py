@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.llm.common import STAGED, discard, staged
+from stanzagraph.llm.common import STAGED, discard, reads, staged
 from stanzagraph.llm.decontamination import find_leaks
 from stanzagraph.llm.packing import packed_digest
 from stanzagraph.llm.quality_rules import apply_rules
@@ -42,16 +44,41 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_digest(docs)
 
 
-STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", passage_dedup), ("benchmark_decontamination", decontaminate), ("best_fit_packing", pack)]
+#: Tables that stages have made for themselves and that may still be read.
+INNER: list[str] = []
+
+
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the inner tables of stages before it.
+
+    Stages' results are written and read again, so nothing reads these tables any more;
+    those that ``docs`` itself is made of stay.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = reads(docs)
+        if not any(p.rsplit("/", 1)[1] in read for p in INNER):
+            discard(spark, [p for p in INNER if p in STAGED])
+            INNER.clear()
+        before = len(STAGED)
+        out = stage(spark, docs, sf_dir)
+        INNER.extend(STAGED[before:])
+        return out
+
+    return run_stage
+
+
+STAGES = [("quality_rules", tidy(quality)), ("simhash_near_dedup", tidy(near_dedup)), ("suffix_array_dedup", tidy(passage_dedup)), ("benchmark_decontamination", tidy(decontaminate)), ("best_fit_packing", tidy(pack))]
 
 #: Tokenization and suffix arrays are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's inner tables and its input go when its output is written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(STAGED)
+    """All stages; a stage's output goes when the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-        discard(spark, STAGED[before:-1])
+        discard(spark, last)
+        last = [STAGED[-1]]
     return STAGES[-1][1](spark, docs, sf_dir)
