@@ -75,8 +75,8 @@ def give_back(keep: bool = False) -> None:
 class Bounded(dict):
     """Values by short keys, in at most ``most`` bytes of both with what Python needs for them.
 
-    Full, it takes no more: what is met first is met most. But if four times as many keys
-    as it holds were not there since, it starts anew.
+    Full, it takes no more, for what is met first is met most; but if four times as many
+    keys as it holds weren't there since, it starts anew.
     """
 
     #: Longer keys are seldom met again, and aren't kept.

@@ -19,8 +19,8 @@ from stanzagraph.llm.common import Bounded, give_back, per_process, pick, slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Bytes that a worker's ids of chunks, of lower-case words and of signs after them may take.
-REMEMBERED = 100 << 20, 60 << 20, 4 << 20
+#: Bytes that a task's ids of chunks, of lower-case words and of signs after them may take.
+REMEMBERED = 80 << 20, 50 << 20, 4 << 20
 
 
 def byte_letters() -> str:
@@ -109,6 +109,11 @@ class WordTokens:
         known, chunk = self.chunks.get, self.chunk
         return b"".join([known(c) or chunk(c) for c in text.split()])
 
+    def forget(self) -> None:
+        """Free what was remembered: a pool of idle workers would hold as many copies. The tokenizer stays."""
+        self.chunks, self.words, self.signs = map(Bounded, REMEMBERED)
+        give_back(keep=True)
+
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids, numbered by length within each task."""
@@ -131,7 +136,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: in
                     rows.append((doc_id, piece, start, n, own, part, int(seen[n])))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        give_back(keep=True)
+        words.forget()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, PIECES)
 
