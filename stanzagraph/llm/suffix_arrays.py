@@ -110,40 +110,68 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.nd
     return sa
 
 
+def sorted_substrings(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost-smaller substrings in order, and where a new one starts among them.
+
+    A substring goes from one leftmost-smaller place to the next. Letters count with their
+    types, of which the larger is less. As many as a word holds are compared at once, the
+    next ones only where substrings were the same so far and go on.
+    """
+    length = np.ones(len(lms), np.int64)
+    length[:-1] = np.diff(lms) + 1
+    value = np.zeros(len(s) + 64, np.int64)
+    value[: len(s)] = 2 * s.astype(np.int64) + small
+    bits = int(2 * k + 1).bit_length()
+    each = max(1, min(64, 63 // bits))
+
+    def keys(which: np.ndarray, offset: int) -> np.ndarray:
+        out, left, at = np.zeros(len(which), np.int64), length[which] - offset, lms[which] + offset
+        for j in range(each):
+            out <<= bits
+            out |= np.where(left > j, value[at + j], 0)
+        return out
+
+    key = keys(np.arange(len(lms)), 0)
+    order = key.argsort(kind="stable")
+    key = key[order]
+    new = np.ones(len(lms), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    offset = each
+    while True:
+        same = ~new
+        same[:-1] |= ~new[1:]
+        at = np.flatnonzero(same & (length[order] > offset))
+        if not len(at):
+            return order, new
+        group = np.cumsum(new)[at]
+        key = keys(order[at], offset)
+        now = np.lexsort((key, group))
+        order[at], key = order[at][now], key[now]
+        fresh = new[at]
+        fresh[1:] |= key[1:] != key[:-1]
+        new[at] = fresh
+        offset += each
+
+
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
-    """The suffix array of ``s``: letters below ``k``, the last a 0 that occurs nowhere else."""
+    """The suffix array of ``s``: letters below ``k``, the last a 0 that occurs nowhere else.
+
+    Leftmost-smaller substrings are sorted and named; where names repeat, the string of
+    names is sorted the same way. All other suffixes are induced from them.
+    """
     n = len(s)
     if n <= FEW:
         letters = s.tolist()
         return np.asarray(sorted(range(n), key=lambda i: letters[i:]), np.int32)
     small = suffix_types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
-    if len(lms) < 2:
-        return induce(s, small, lms, k)
-    first = lms[np.argsort(s[lms], kind="stable")]
-    rough = induce(s, small, first, k)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    length = np.zeros(n, np.int32)
-    length[lms[:-1]] = np.diff(lms)
-    a, b = ordered[:-1], ordered[1:]
-    alive = np.flatnonzero((length[a] == length[b]) & (length[a] > 0))
-    differs = np.ones(len(ordered), bool)
-    step = 0
-    while len(alive):
-        alive = alive[s[a[alive] + step] == s[b[alive] + step]]
-        over = step == length[a[alive]]
-        differs[alive[over] + 1] = False
-        alive = alive[~over]
-        step += 1
-    named = np.cumsum(differs) - 1
-    if named[-1] < len(lms) - 1:
-        name = np.empty(n, np.int32)
-        name[ordered] = named
-        reduced = name[lms]  # ends in the sentinel's name, 0
-        ordered = lms[suffix_array(reduced, int(named[-1]) + 1)]
-    return induce(s, small, ordered, k)
+    order, new = sorted_substrings(s, small, lms, k)
+    names = np.cumsum(new) - 1
+    if names[-1] < len(lms) - 1:
+        reduced = np.empty(len(lms), np.int32)
+        reduced[order] = names  # ends in the sentinel's name, 0
+        order = suffix_array(reduced, int(names[-1]) + 1)
+    return induce(s, small, lms[order], k)
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, heads: np.ndarray, most: int) -> np.ndarray:
