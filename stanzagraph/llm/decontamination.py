@@ -27,8 +27,8 @@ NAMED, PLAIN, EXACT = range(3)
 LEAST_BITS, MOST_BITS = 20, 28
 #: What gives a hash its places in the filter.
 PLACES = np.random.default_rng(8).integers(0, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes that a worker's codes of words may take; freed with the task.
-REMEMBERED = 24 << 20
+#: Bytes that a task's codes of words may take.
+REMEMBERED = 96 << 20
 #: Pairs of document and form, and bytes of documents, that are checked in one group on average.
 PAIRS_EACH, BYTES_EACH = 4000, 8_000_000
 #: Bytes of verdicts up to which every task gets them all; beyond, they are joined.
@@ -99,7 +99,12 @@ class Known(dict):
         self.named, self.plain, self.held = array("Q"), array("Q"), 0
 
     def __missing__(self, word: bytes) -> int:
-        code, other = word_codes(word)
+        base = word if word[-1] > 96 else word[:-1]
+        if base.isalpha() and base.islower() and base not in NUMBER_WORDS and base not in UNITS and (base is word or word[-1] in b".,;:!?"):
+            other = xxhash.xxh64_intdigest(base) & ~3 | 16  # small letters of ASCII, and a mark: what word_codes() gives
+            code = other | 2 if word[-1] in b".!?:" else other
+        else:
+            code, other = word_codes(word)
         at = self[word] = len(self.named)
         self.named.append(code)
         self.plain.append(other)

@@ -135,6 +135,13 @@ def test_against_brute_force(spark, monkeypatch, most):
     assert sum(w[1] for w in want) > 60 and sum(not w[1] for w in want) > 40
 
 
+def test_short_way_to_codes():
+    known = decontamination.Known()
+    words = [b"word", b"word.", b"word,", b"word:", b"Word", b"two", b"two.", b"km", b"km,", b"a", b"a.", b".", b"x1", b"caf\xc3\xa9", b"word..", b"word-", b"WORD", b"don't", b"{", b"word{", b"\xc3\xa9."]
+    named, forms = known.of(words)
+    assert list(zip(named.tolist(), forms.tolist())) == [decontamination.word_codes(w) for w in words]
+
+
 def test_a_third_of_all_documents_leak_one_item(spark):
     item = "Which of the seven rivers in the old song runs through the town of Lund before it meets the sea?"
     docs = spark.range(600).selectExpr("id doc_id", f"case when id % 3 = 0 then concat('{item}', ' ', if(id % 2 = 0, '', string(id))) else concat('other words ', id, ' stand here') end text").repartition(5)
