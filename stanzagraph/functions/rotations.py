@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stanzagraph.functions.columns import quoted
-from stanzagraph.functions.linalg import completed, deflated, eigen, moments, normalized, solved
+from stanzagraph.functions.linalg import Moments, completed, deflated, eigen, moments, normalized, solved
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,12 @@ class Units:
 
     df: DataFrame
     edges: list[str]
+    known: Moments | None = None
 
     def moments(self, extra: Sequence = ()):  # noqa: ANN001, ANN201
         """Of the centred edges and further columns beside them."""
+        if not extra and self.known is not None:
+            return self.known
         return moments(self.df, F.concat(F.col("centred"), F.array(*[c.cast("double") for c in extra])) if extra else F.col("centred"), len(self.edges) + len(extra))
 
     def numeric(self, name: str) -> bool:

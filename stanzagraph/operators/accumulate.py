@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 
 from stanzagraph.functions.columns import code_value, label, ordered_code_value, quoted, upper_triangle, weighted
 from stanzagraph.spec import AccumulateSpec, Edge
+from stanzagraph.operators.vector import row_cells, summed, vectorised
 from stanzagraph.streaming.folders import shared_folder
 
-#: Forward rows up to which each possible head frame is a window column of its own.
-FORWARD_FRAMES = 16
-#: Backward rows above which a frame is the difference of two running sums (whole-number codes only).
-SLIDING = 128
-
 
 @dataclass
 class Accumulation:
@@ -95,11 +91,7 @@ def window_cells(spec: AccumulateSpec, codes: list[Column], by: list[Column]) ->
     def earlier(until: int, name: str) -> list[Column]:
         return [F.lit(0.0)] * p if back == 1 else frame(name, start, until)
 
-    if back is not None and back > SLIDING and spec.forward == 0:
-        far, near = frame("far", Window.unboundedPreceding, -back), frame("near", Window.unboundedPreceding, -1)
-        before = [a - b for a, b in zip(near, far, strict=True)]
-    else:
-        before = earlier(-1, "prev")
+    before = earlier(-1, "prev") if spec.forward == 0 else []
     own = [F.col(f"__c{i}") for i in range(p)]
     sums: dict[str, Column] = {}
 
@@ -111,58 +103,19 @@ def window_cells(spec: AccumulateSpec, codes: list[Column], by: list[Column]) ->
         before = kept("before", before)
         whole = upper_triangle(kept("whole", [x + c for x, c in zip(before, own, strict=True)]) if back != 1 else own)
         return needed, sums, whole if back == 1 else [a - b for a, b in zip(whole, upper_triangle(before), strict=True)]
-    if spec.forward is None:
-        after, head = frame("next", 1, Window.unboundedFollowing), None
-    else:
-        after, head = frame("next", 1, spec.forward), None
-        if back != 1:
-            # near the end, where s of the forward rows are missing, the last s earlier rows are no head
-            needed["__left"] = F.count(F.lit(1)).over(Window.partitionBy(*by)) - F.row_number().over(w)
-            missing = F.lit(spec.forward) - F.least(F.lit(spec.forward), F.col("__left"))
-            frames = [earlier(-1 - s, f"head{s}_") for s in range(spec.forward + 1)]
-            head = []
-            for i in range(p):
-                c = frames[-1][i]
-                for s in range(spec.forward - 1, -1, -1):
-                    c = F.when(missing == s, frames[s][i]).otherwise(c)
-                head.append(c)
-            head = kept("head", head)
-    whole = upper_triangle(kept("whole", [a + c + b for a, c, b in zip(before, own, after, strict=True)]))
-    cells = [x - t for x, t in zip(whole, upper_triangle(after), strict=True)]
-    return needed, sums, cells if head is None else [x - h for x, h in zip(cells, upper_triangle(head), strict=True)]
-
-
-def ordered_cells(spec: AccumulateSpec, codes: list[Column], by: list[Column]) -> tuple[dict[str, Column], dict[str, Column], list[Column]]:
-    """Earlier ground to present response, and half of a row's own pairs each way."""
-    w = Window.partitionBy(*by).orderBy(*[quoted(c) for c in spec.order_by])
-    start = Window.unboundedPreceding if spec.back is None else -(spec.back - 1)
-    needed = {f"__prev{i}": F.coalesce(F.sum(c).over(w.rowsBetween(start, -1)), F.lit(0.0)) for i, c in enumerate(codes)} if spec.back != 1 else {}
-    cells = []
-    for e in spec.edges():
-        g, r = F.col(f"__c{e.source_index}"), F.col(f"__c{e.target_index}")
-        parts = [F.col(f"__prev{e.source_index}") * r] if needed else []
-        if e.source_index != e.target_index:
-            parts.append(F.lit(0.5) * g * r)
-        cells.append(parts[0] + parts[1] if len(parts) == 2 else parts[0] if parts else F.lit(0.0))
-    return needed, {}, cells
-
-
-def _wide_forward(df: DataFrame, spec: AccumulateSpec, conv: list[str], p: int) -> DataFrame:
-    """Forward windows beyond FORWARD_FRAMES: prefix sums in each conversation, vectorised."""
-    from pyspark.sql import types as T
-
-    from stanzagraph.functions.kernel import stanza_cells
-
-    edges = spec.edges()
-    fields = [T.StructField(f"__cell{k}", T.DoubleType()) for k in range(len(edges))]
-    order, back, forward = list(spec.order_by), spec.back, spec.forward
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        cells = stanza_cells(pdf[[f"__c{i}" for i in range(p)]].to_numpy(float), edges, back, forward)
-        return pd.concat([pdf, pd.DataFrame(cells, columns=[f.name for f in fields])], axis=1)
-
-    return df.groupBy(*conv).applyInPandas(run, T.StructType([*df.schema.fields, *fields]))
+    last = Window.unboundedFollowing if spec.forward is None else spec.forward
+    after, whole, head = frame("next", 1, last), upper_triangle(frame("whole", 0 if back == 1 else start, last)), None
+    if back != 1 and spec.forward is not None:
+        # the last rows of a conversation, which lack some of their forward rows, are in no head
+        needed["__left"] = F.count(F.lit(1)).over(Window.partitionBy(*by)) - F.row_number().over(w)
+        for i in range(p):
+            needed[f"__early{i}"] = F.when(F.col("__left") > spec.forward, F.col(f"__c{i}")).otherwise(F.lit(0.0))
+            needed[f"__head{i}"] = F.coalesce(F.sum(f"__early{i}").over(w.rowsBetween(start, -1)), F.lit(0.0))
+        head = [F.col(f"__head{i}") for i in range(p)]
+    tail = upper_triangle(after)
+    if head is None:
+        return needed, sums, [x - t for x, t in zip(whole, tail, strict=True)]
+    return needed, sums, [x - h - t for x, h, t in zip(whole, upper_triangle(head), tail, strict=True)]
 
 
 def row_edges(df: DataFrame, spec: AccumulateSpec) -> DataFrame:
@@ -183,17 +136,17 @@ def row_edges(df: DataFrame, spec: AccumulateSpec) -> DataFrame:
         made = grouped
     else:
         by = _keys(spec.conversation, "conversation", spec.legacy_display_keys, kinds)
-        if spec.forward is not None and spec.forward > FORWARD_FRAMES:
-            made = _wide_forward(named, spec, list(spec.conversation), p)
-            cells = [F.col(f"__cell{k}") for k in range(len(spec.edges()))]
-        else:
-            needed, sums, cells = (window_cells if spec.network == "standard" else ordered_cells)(spec, codes, by)
-            made = named
-            if "__left" in needed:
-                made = made.withColumn("__left", needed.pop("__left"))
-            for columns in (needed, {k: c for k, c in sums.items() if k.startswith("__before")}, {k: c for k, c in sums.items() if not k.startswith("__before")}):
-                made = made.withColumns(columns) if columns else made
         keep = [*[quoted(c) for c in df.columns], F.col("ENA_UNIT"), F.col("__order")]
+        if vectorised(spec):
+            made = row_cells(named.drop(*[f"__c{i}" for i in range(p)]), spec, by, [value(c, kinds[c]) for c in spec.codes])
+            return made.select(*keep, *[F.col("__cells")[i].alias(e.name) for i, e in enumerate(spec.edges())], "__cells")
+        needed, sums, cells = window_cells(spec, codes, by)
+        made = named
+        for kind in ("__left", "__early"):
+            made = made.withColumns({k: c for k, c in needed.items() if k.startswith(kind)})
+        rest = {k: c for k, c in needed.items() if not k.startswith(("__left", "__early"))}
+        for columns in (rest, {k: c for k, c in sums.items() if k.startswith("__before")}, {k: c for k, c in sums.items() if not k.startswith("__before")}):
+            made = made.withColumns(columns) if columns else made
     out = [weighted(x, f, spec.weighting).alias(e.name) for x, f, e in zip(cells, spec.factors(), spec.edges(), strict=True)]
     return made.select(*keep, *out)
 
@@ -208,13 +161,22 @@ def accumulate(df: DataFrame, spec: AccumulateSpec) -> Accumulation:
 
     counts has the unit columns (and, for trajectories, the conversation columns),
     ENA_UNIT, first_seen (the least order key) and a column for each edge. An accumulated
-    trajectory's step has the sums of its unit's steps so far.
+    trajectory's step has the sums of its unit's steps so far. Sums of ordered networks
+    are rounded once. If units_used names no unit that has a row, that is an error.
     """
     rows, edges = row_edges(df, spec), spec.edges()
     sums = [F.sum(quoted(e.name)).alias(e.name) for e in edges]
     seen = F.min("__order").alias("first_seen")
     units = [quoted(u) for u in spec.units]
     keep = used(rows, spec)
+    if spec.units_used is not None and not df.filter(label(spec.units, _kinds(df)).isin(list(spec.units_used))).take(1):
+        raise ValueError(f"units_used: no row has any of these labels: {list(spec.units_used)}")
+    if "__cells" in rows.columns and not spec.legacy_display_keys:
+        names = list(dict.fromkeys([*spec.units, *(spec.conversation if spec.model != "EndPoint" else [])]))
+        made = summed(keep, [*names, "ENA_UNIT"], len(edges))
+        counts = made.select(*[quoted(n) for n in names], "ENA_UNIT", "first_seen", *[F.col("__sums")[i].alias(e.name) for i, e in enumerate(edges)])
+        rows = rows.drop("__cells")
+        return Accumulation(spec, edges, rows, _steps(counts, spec, df), df)
     if spec.model == "EndPoint":
         keys = [] if spec.legacy_display_keys else units
         shown = [F.min(u).alias(n) for u, n in zip(units, spec.units, strict=True)] if spec.legacy_display_keys else []
@@ -222,11 +184,18 @@ def accumulate(df: DataFrame, spec: AccumulateSpec) -> Accumulation:
     else:
         steps = [quoted(c) for c in dict.fromkeys([*spec.units, *spec.conversation])]
         counts = keep.groupBy(*steps, "ENA_UNIT").agg(seen, *sums)
-        if spec.model == "AccumulatedTrajectory":
-            so_far = Window.partitionBy(*units).orderBy("first_seen", *[quoted(c) for c in spec.conversation]).rowsBetween(Window.unboundedPreceding, 0)
-            counts = counts.select(*steps, "ENA_UNIT", "first_seen", *[F.sum(quoted(e.name)).over(so_far).alias(e.name) for e in edges])
-        counts = counts.withColumn("TRAJ_UNIT", F.concat_ws("::", "ENA_UNIT", label(spec.conversation, _kinds(df))))
-    return Accumulation(spec, edges, rows, counts, df)
+    return Accumulation(spec, edges, rows.drop("__cells"), _steps(counts, spec, df), df)
+
+
+def _steps(counts: DataFrame, spec: AccumulateSpec, source: DataFrame) -> DataFrame:
+    """``counts`` by step as the model has them: summed up along their unit, and labelled."""
+    if spec.model == "EndPoint":
+        return counts
+    if spec.model == "AccumulatedTrajectory":
+        steps, names = [quoted(c) for c in dict.fromkeys([*spec.units, *spec.conversation])], [e.name for e in spec.edges()]
+        so_far = Window.partitionBy(*[quoted(u) for u in spec.units]).orderBy("first_seen", *[quoted(c) for c in spec.conversation]).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.select(*steps, "ENA_UNIT", "first_seen", *[F.sum(quoted(n)).over(so_far).alias(n) for n in names])
+    return counts.withColumn("TRAJ_UNIT", F.concat_ws("::", "ENA_UNIT", label(spec.conversation, _kinds(source))))
 
 
 def exact_counts(acc: Accumulation) -> DataFrame:

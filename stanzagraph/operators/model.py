@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stanzagraph.functions.columns import l2_norm, quoted, sphere_norm, total
-from stanzagraph.functions.linalg import as_array, mapped, moments
+from stanzagraph.functions.linalg import Moments, as_array, mapped, moments
 from stanzagraph.functions.nodes import incidence, node_weights, positions
 from stanzagraph.functions.rotations import Axes, Svd, Units, rotate
 from stanzagraph.operators.accumulate import Accumulation
+from stanzagraph.operators.vector import WIDE, lines_of
 from stanzagraph.spec import AccumulateSpec, Edge
 
 
@@ -59,6 +60,8 @@ class Model:
     def centred(self, counts: DataFrame, carry_lines: bool = True) -> DataFrame:
         """counts with arrays: lines (the row's line weights) and centred."""
         names = [e.name for e in self.edges]
+        if len(names) > WIDE:
+            return lines_of(counts, names, self.center, self.align)
         keep = [quoted(c) for c in counts.columns if c not in names]
         signal = has_signal(names) if self.align else F.lit(True)
         scaled, normed = sphere_norm(counts, names)
@@ -143,9 +146,12 @@ def fit(acc: Accumulation, rotation=None, dimensions: int = 2, align: bool = Tru
         raise ValueError("dimensions: a whole number from 1")
     names = acc.edge_names
     acc.materialized()
-    rows = acc.counts.filter(has_signal(names)) if align else acc.counts
-    scaled, normed = sphere_norm(rows, names)
-    m = moments(scaled, F.array(*normed), len(names))
+    if len(names) > WIDE:
+        m = moments(lines_of(acc.counts, names, align=align).filter("__signal"), F.col("lines"), len(names))
+    else:
+        rows = acc.counts.filter(has_signal(names)) if align else acc.counts
+        scaled, normed = sphere_norm(rows, names)
+        m = moments(scaled, F.array(*normed), len(names))
     if align and m.n == 0:
         raise ValueError("no unit has any connection")
     blank = Axes([], np.zeros((len(names), 0)), np.zeros(0))
@@ -154,7 +160,9 @@ def fit(acc: Accumulation, rotation=None, dimensions: int = 2, align: bool = Tru
     if metadata is not None:
         extra = [c for c in metadata.columns if c not in units.columns]
         units = units.join(metadata.select("ENA_UNIT", *[quoted(c) for c in extra]), "ENA_UNIT", "left")
-    model.axes = rotate(Units(units, names), rotation)
+    # about their centre, units without connections add nothing but their number
+    about = Moments(acc.counts.count(), np.zeros(len(names)), m.scatter)
+    model.axes = rotate(Units(units, names, about), rotation)
     if nodes:
         model.nodes = model.fit_nodes(acc.counts)
     return model

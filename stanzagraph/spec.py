@@ -96,6 +96,11 @@ class AccumulateSpec:
     def weighting(self) -> str | Callable[[Column], Column]:
         return self.weight or ("sum" if self.network == "ordered" else "binary")
 
+    @property
+    def plain_function(self) -> bool:
+        """Whether the weight is a function, of a cell's Column or (scalar()) of a number."""
+        return callable(self.weight)
+
     def edges(self) -> list[Edge]:
         return adjacency(self.codes) if self.network == "standard" else ordered_adjacency(self.codes)
 
