@@ -164,19 +164,24 @@ def accumulate(df: DataFrame, spec: AccumulateSpec) -> Accumulation:
     trajectory's step has the sums of its unit's steps so far. Sums of ordered networks
     are rounded once. If units_used names no unit that has a row, that is an error.
     """
-    rows, edges = row_edges(df, spec), spec.edges()
+    if spec.units_used is not None and not df.filter(label(spec.units, _kinds(df)).isin(list(spec.units_used))).take(1):
+        raise ValueError(f"units_used: no row has any of these labels: {list(spec.units_used)}")
+    rows = row_edges(df, spec)
+    return Accumulation(spec, spec.edges(), rows.drop("__cells"), counted(rows, spec, df), df)
+
+
+def counted(rows: DataFrame, spec: AccumulateSpec, source: DataFrame) -> DataFrame:
+    """Counts as accumulate() has them, from rows with ENA_UNIT, __order and edges; ``source`` has the keys' types."""
+    edges = spec.edges()
     sums = [F.sum(quoted(e.name)).alias(e.name) for e in edges]
     seen = F.min("__order").alias("first_seen")
     units = [quoted(u) for u in spec.units]
     keep = used(rows, spec)
-    if spec.units_used is not None and not df.filter(label(spec.units, _kinds(df)).isin(list(spec.units_used))).take(1):
-        raise ValueError(f"units_used: no row has any of these labels: {list(spec.units_used)}")
     if "__cells" in rows.columns and not spec.legacy_display_keys:
         names = list(dict.fromkeys([*spec.units, *(spec.conversation if spec.model != "EndPoint" else [])]))
         made = summed(keep, [*names, "ENA_UNIT"], len(edges))
         counts = made.select(*[quoted(n) for n in names], "ENA_UNIT", "first_seen", *[F.col("__sums")[i].alias(e.name) for i, e in enumerate(edges)])
-        rows = rows.drop("__cells")
-        return Accumulation(spec, edges, rows, _steps(counts, spec, df), df)
+        return _steps(counts, spec, source)
     if spec.model == "EndPoint":
         keys = [] if spec.legacy_display_keys else units
         shown = [F.min(u).alias(n) for u, n in zip(units, spec.units, strict=True)] if spec.legacy_display_keys else []
@@ -184,7 +189,7 @@ def accumulate(df: DataFrame, spec: AccumulateSpec) -> Accumulation:
     else:
         steps = [quoted(c) for c in dict.fromkeys([*spec.units, *spec.conversation])]
         counts = keep.groupBy(*steps, "ENA_UNIT").agg(seen, *sums)
-    return Accumulation(spec, edges, rows.drop("__cells"), _steps(counts, spec, df), df)
+    return _steps(counts, spec, source)
 
 
 def _steps(counts: DataFrame, spec: AccumulateSpec, source: DataFrame) -> DataFrame:

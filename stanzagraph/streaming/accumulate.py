@@ -2,68 +2,92 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stanzagraph.functions.columns import code_value, label, ordered_code_value, quoted, weighted
-from stanzagraph.functions.kernel import ordered_row_cells, stanza_cells
-from stanzagraph.operators.accumulate import used
+from stanzagraph.functions.columns import code_value, label, ordered_code_value, quoted, upper_triangle, weighted
+from stanzagraph.functions.kernel import expand, ordered_row_cells, stanza_cells
+from stanzagraph.operators.accumulate import counted, ordering, unit_metadata, used
 from stanzagraph.spec import AccumulateSpec
 
 
-def stream_rows(rows: DataFrame, spec: AccumulateSpec) -> DataFrame:
-    """Cells of a stream's rows, conversation by conversation.
-
-    State holds the rows that windows still reach (all rows if ``back`` or ``forward`` has
-    no bound) and the last order key. A row whose forward rows haven't all come is given
-    with what there is and given again with a higher __version; its last version counts,
-    so a stream that ends needs no flush. Rows that come after a later row of their
-    conversation are late and dropped: __late counts them. Micro-batches are sorted by the
-    order key.
-    """
-    if spec.window != "MovingStanzaWindow":
-        raise ValueError("a Conversation window needs no state: aggregate the stream")
+def _coded(rows: DataFrame, spec: AccumulateSpec) -> tuple[DataFrame, list[str]]:
+    """The columns of ``rows`` that are needed, ENA_UNIT, and the codes as __c0, __c1 and so on."""
     spec.check(rows)
-    kinds, p, edges = dict(rows.dtypes), len(spec.codes), spec.edges()
+    kinds = dict(rows.dtypes)
     value = code_value if spec.network == "standard" else ordered_code_value
-    keep = list(dict.fromkeys([*spec.units, *spec.conversation, *spec.order_by]))
+    keep = list(dict.fromkeys([*spec.units, *spec.conversation, *spec.order_by, *spec.metadata]))
     named = rows.select(*[quoted(c) for c in keep], label(spec.units, kinds).alias("ENA_UNIT"), *[value(c, kinds[c]).alias(f"__c{i}") for i, c in enumerate(spec.codes)])
+    return named, keep
+
+
+def stream_rows(rows: DataFrame, spec: AccumulateSpec) -> DataFrame:
+    """Cells of a stream's rows in moving windows, conversation by conversation.
+
+    State holds the rows that windows still reach and the last order key; where ``back`` has
+    no bound a sum takes the place of earlier rows, where ``forward`` has none all rows stay.
+    A row whose forward rows haven't all come is given with what there is and given again
+    with a higher __version; its last version counts, so a stream that ends needs no flush.
+    Micro-batches are sorted by the order key. A row that isn't behind all earlier ones of
+    its conversation is late: it changes no cell, and __late tells at once, in a row of its
+    own, how many there were. Null order keys come first.
+    """
+    named, _ = _coded(rows, spec)
+    p, edges = len(spec.codes), spec.edges()
     cells = [f"__cell{k}" for k in range(len(edges))]
-    out = T.StructType([f for f in named.schema if not f.name.startswith("__c")] + [T.StructField(c, T.DoubleType()) for c in cells] + [T.StructField("__version", T.LongType()), T.StructField("__late", T.LongType())])
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in named.schema if not f.name.startswith("__c")] + [T.StructField(c, T.DoubleType()) for c in cells] + [T.StructField("__version", T.LongType()), T.StructField("__late", T.LongType())])
     order, codes, back, forward, ordered = list(spec.order_by), [f"__c{i}" for i in range(p)], spec.back, spec.forward, spec.network == "ordered"
+    conversation = list(spec.conversation)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, last, version, late = pickle.loads(state.get[0]) if state.exists else (None, None, 0, 0)
-        new = pd.concat(list(parts)).sort_values(order, kind="stable")
-        if last is not None:
-            keys = list(zip(*(new[c] for c in order), strict=True))
-            on_time = np.array([k > last for k in keys], bool)
-            late += int((~on_time).sum())
-            new = new[on_time]
-        if not len(new):
-            state.update((pickle.dumps((rows, last, version, late)),))
-            return
-        waiting = 0 if rows is None else len(rows) if forward is None else min(forward, len(rows))
-        since = 0 if rows is None else len(rows) - waiting
-        rows = (new if rows is None else pd.concat([rows, new])).reset_index(drop=True)
-        last, version = tuple(rows[c].iloc[-1] for c in order), version + 1
-        c = rows[codes].to_numpy(float)
-        made = ordered_row_cells(c, edges, back, since) if ordered else stanza_cells(c, edges, back, forward, since)
-        told = rows.iloc[since:].drop(columns=codes).reset_index(drop=True)
-        told[cells] = made
-        told["__version"], told["__late"] = version, late
-        yield told[[f.name for f in out]]
-        if back is not None and forward is not None:
-            rows = rows.iloc[max(0, len(rows) - (max(back, 1) - 1) - forward) :]
-        state.update((pickle.dumps((rows.reset_index(drop=True), last, version, late)),))
+        held, last, version, late, carry = pickle.loads(state.get[0]) if state.exists else (None, None, 0, 0, None)
+        new = pd.concat(list(parts), ignore_index=True)
+        keys = [tuple((not pd.isna(v), None if pd.isna(v) else v) for v in k) for k in zip(*(new[c] for c in order), strict=True)]
+        place = sorted(range(len(keys)), key=keys.__getitem__)
+        on_time = []
+        for i in place:
+            if last is None or keys[i] > last:
+                last = keys[i]
+                on_time.append(i)
+        missed = len(place) - len(on_time)
+        if missed:
+            late += missed
+            mark = pd.DataFrame([{c: k for c, k in zip(conversation, key, strict=True)} | {"__version": -1, "__late": late}])
+            yield mark.reindex(columns=[f.name for f in out])
+        if on_time:
+            waiting = 0 if held is None else len(held) if forward is None else min(forward, len(held))
+            since = 0 if held is None else len(held) - waiting
+            rows = new.iloc[on_time] if held is None else pd.concat([held, new.iloc[on_time]])
+            rows, version = rows.reset_index(drop=True), version + 1
+            c, one = rows[codes].to_numpy(float), np.zeros(len(rows), int)
+            if ordered:
+                made = ordered_row_cells(c, one, edges, back, carry)
+            else:
+                made = stanza_cells(c, one, edges, back, forward, None if carry is None else np.asarray([math.fsum(x) for x in carry]))
+            told = rows.iloc[since:].drop(columns=codes).reset_index(drop=True)
+            told[cells] = made[since:]
+            told["__version"], told["__late"] = version, late
+            yield told[[f.name for f in out]]
+            if forward is not None:
+                gone = max(0, len(rows) - forward - (max(back, 1) - 1 if back is not None else 0))
+                if back is None:
+                    carry = [[] for _ in codes] if carry is None else carry
+                    for row in c[:gone].tolist():
+                        for x, v in zip(carry, row, strict=True):
+                            expand(x, v) if ordered else x.__setitem__(slice(None), [(x[0] if x else 0.0) + v])
+                rows = rows.iloc[gone:].reset_index(drop=True)
+            held = rows
+        state.update((pickle.dumps((held, last, version, late, carry)),))
 
     grouped = named.groupBy(*[quoted(c) for c in spec.conversation])
     made = grouped.applyInPandasWithState(run, out, T.StructType([T.StructField("kept", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
@@ -76,12 +100,17 @@ class AccumulationStream:
 
     start() runs until the source has no more (``available_now``) or until stop(). After a
     restart with the same folder the stream goes on from its checkpoint; versions make rows
-    that are written twice count once.
+    that are written twice count once. Conversation windows need no state: the stream keeps
+    the rows' codes, and they are summed when they are asked for.
+
+    Results are those of a batch, for all models; rows that came late make asking for them an
+    error, unless ``allow_late``.
     """
 
-    def __init__(self, rows: DataFrame, spec: AccumulateSpec, folder: str):
-        self.rows, self.spec, self.folder = rows, spec, folder.rstrip("/")
-        self.cells = stream_rows(rows, spec)
+    def __init__(self, rows: DataFrame, spec: AccumulateSpec, folder: str, allow_late: bool = False):
+        self.rows, self.spec, self.folder, self.allow_late = rows, spec, folder.rstrip("/"), allow_late
+        self.moving = spec.window == "MovingStanzaWindow"
+        self.cells = stream_rows(rows, spec) if self.moving else _coded(rows, spec)[0]
         self.query = None
 
     def start(self, available_now: bool = True) -> AccumulationStream:
@@ -90,7 +119,7 @@ class AccumulationStream:
         return self
 
     def finish(self) -> DataFrame:
-        """Wait for the end of the source; counts by unit."""
+        """Wait for the end of the source; counts as the model has them."""
         self.query.awaitTermination()
         return self.counts()
 
@@ -102,20 +131,132 @@ class AccumulationStream:
     def progress(self) -> Iterable[dict]:
         return [] if self.query is None else self.query.recentProgress
 
-    def row_edges(self) -> DataFrame:
-        """The last version of every row's cells."""
+    def _stored(self) -> DataFrame:
+        """Every row once, in its last version."""
         spec = self.spec
         rows = self.rows.sparkSession.read.schema(self.cells.schema).parquet(f"{self.folder}/cells")
+        if not self.moving:
+            return rows.withColumn("__order", ordering(spec))
+        if not self.allow_late:
+            late = rows.filter("__version = -1").agg(F.sum(F.lit(1)), F.max("__late")).first()
+            if late[0]:
+                raise ValueError(f"rows came behind later ones of their conversation (up to {late[1]} in one)")
         keys = [quoted(c) for c in dict.fromkeys([*spec.conversation, *spec.order_by])]
         newest = Window.partitionBy(*keys).orderBy(F.desc("__version"))
-        return rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", "__version", "__late")
+        kept = rows.filter("__version >= 0").withColumn("__n", F.row_number().over(newest)).filter("__n = 1")
+        return kept.drop("__n", "__version", "__late").withColumn("__order", ordering(spec))
+
+    def row_edges(self) -> DataFrame:
+        """The rows (in Conversation windows: the units of conversations) with their cells, ENA_UNIT and __order."""
+        rows, spec = self._stored(), self.spec
+        if self.moving:
+            return rows
+        codes = [F.col(f"__c{i}") for i in range(len(spec.codes))]
+        keys = [quoted(k) for k in dict.fromkeys([*spec.conversation, *spec.units])]
+        sums = rows.groupBy(*keys, "ENA_UNIT").agg(*[F.sum(c).alias(f"__c{i}") for i, c in enumerate(codes)], F.min("__order").alias("__order"))
+        made: list[Column] = [weighted(x, f, spec.weighting).alias(e.name) for x, f, e in zip(upper_triangle(codes), spec.factors(), spec.edges(), strict=True)]
+        return sums.select(*keys, "ENA_UNIT", "__order", *made)
 
     def counts(self) -> DataFrame:
-        rows = used(self.row_edges(), self.spec)
-        sums = [F.sum(quoted(e.name)).alias(e.name) for e in self.spec.edges()]
-        return rows.groupBy(*[quoted(u) for u in self.spec.units], "ENA_UNIT").agg(*sums)
+        """Counts by unit, or by step for trajectories."""
+        rows = self.row_edges()
+        if self.spec.units_used is not None and not used(rows, self.spec).take(1):
+            raise ValueError(f"units_used: no row has any of these labels: {list(self.spec.units_used)}")
+        return counted(rows, self.spec, self.rows)
+
+    def metadata(self) -> DataFrame:
+        """The units' stable metadata, as a batch has them."""
+        return unit_metadata(self._stored().drop("ENA_UNIT"), self.spec)
 
 
 def accumulate_stream(spark: SparkSession, rows: DataFrame, spec: AccumulateSpec, folder: str) -> DataFrame:
-    """Counts by unit of a stream read to its end, in a new folder below ``folder``."""
+    """Counts of a stream read to its end, in a new folder below ``folder``."""
     return AccumulationStream(rows, spec, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}").start().finish()
+
+
+@dataclass
+class SessionState:
+    """How far a session is. ``progress`` is 0 while the number of rows to come isn't known."""
+
+    rows_seen: int = 0
+    chunks_seen: int = 0
+    progress: float = 0.0
+    is_finished: bool = False
+    is_disposed: bool = False
+
+
+class AccumulationSession:
+    """Chunks of rows that are pushed one after the other, and the batch's result at the end.
+
+    A chunk is a DataFrame of ``schema``; it is put into the session's folder as one more
+    piece of a stream, which takes it in at once. After finish() or dispose() nothing can be
+    pushed; dispose() deletes the session's folder, and leaving a ``with`` block disposes.
+    """
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, spec: AccumulateSpec, folder: str, expected_rows: int | None = None, on_progress: Callable[[float, SessionState], None] | None = None):
+        self.spark, self.schema, self.expected_rows, self.on_progress = spark, schema, expected_rows, on_progress
+        self.folder = f"{folder.rstrip('/')}/session-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).limit(0).write.parquet(f"{self.folder}/in/chunk=0")
+        rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/in")
+        self.stream, self.state = AccumulationStream(rows, spec, f"{self.folder}/out"), SessionState()
+
+    def _tell(self, progress: float) -> None:
+        self.state.progress = progress
+        if self.on_progress is not None:
+            self.on_progress(progress, self.state)
+
+    def push(self, rows: DataFrame) -> SessionState:
+        if self.state.is_finished or self.state.is_disposed:
+            raise RuntimeError("the session is over: nothing can be pushed")
+        try:
+            missing = [c for c in self.schema.names if c not in rows.columns]
+            if missing:
+                raise ValueError(f"missing columns: {missing}")
+            own = rows.select(*[quoted(f.name).cast(f.dataType) for f in self.schema])
+            path = f"{self.folder}/in/chunk={self.state.chunks_seen + 1}"
+            own.write.parquet(path)
+            self.stream.start()
+            self.stream.query.awaitTermination()
+        except Exception:
+            self.dispose()
+            raise
+        self.state.rows_seen += self.spark.read.schema(self.schema).parquet(path).count()
+        self.state.chunks_seen += 1
+        self._tell(min(0.99, self.state.rows_seen / self.expected_rows) if self.expected_rows else 0.0)
+        return self.state
+
+    def finish(self) -> DataFrame:
+        """The counts; they are read from the session's folder, which dispose() deletes."""
+        if self.state.is_finished or self.state.is_disposed:
+            raise RuntimeError("the session is over")
+        self.state.is_finished = True
+        if not self.state.rows_seen:
+            self.dispose()
+            raise ValueError("no rows were pushed")
+        out = self.stream.counts()
+        self._tell(1.0)
+        return out
+
+    def dispose(self) -> None:
+        if not self.state.is_disposed:
+            self.state.is_finished = self.state.is_disposed = True
+            self.stream.stop()
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> AccumulationSession:
+        return self
+
+    def __exit__(self, *_) -> None:  # noqa: ANN002
+        self.dispose()
+
+
+def accumulate_chunked(df: DataFrame, spec: AccumulateSpec, folder: str, chunks: int, on_progress: Callable[[float, SessionState], None] | None = None) -> AccumulationSession:
+    """``df`` in ``chunks`` parts, in the order of its rows, through a session; its counts are finish()ed by the caller."""
+    if chunks < 1:
+        raise ValueError("chunks: a whole number from 1")
+    parts = df.withColumn("__part", F.ntile(chunks).over(Window.orderBy(*[quoted(c) for c in spec.order_by]))) if chunks > 1 else df.withColumn("__part", F.lit(1))
+    session = AccumulationSession(df.sparkSession, df.schema, spec, folder, df.count(), on_progress)
+    for k in range(1, chunks + 1):
+        session.push(parts.filter(F.col("__part") == k).drop("__part"))
+    return session
