@@ -13,16 +13,30 @@ from stanzagraph.operators.graph import Plot, network_edges
 from stanzagraph.operators.model import line_weights
 from stanzagraph.sources.tables import load_counts, load_model, save_counts, save_model
 
-TOY = """U1 C1 G1 1010|U1 C1 G1 0100|U2 C1 G1 2101|U2 C1 G1 0021|U3 C1 G2 1001|U3 C1 G2 0110|U4 C1 G2 0011|U4 C1 G2 1100|U1 C2 G1 0110|U2 C2 G1 1010|U3 C2 G2 0101|U4 C2 G2 1001"""
+# Example rows (unit, conversation, group and the codes A to D) whose counts,
+# shares and statistics below are known.
+TOY = [
+    ("U1", "C1", "G1", 1, 0, 1, 0),
+    ("U1", "C1", "G1", 0, 1, 0, 0),
+    ("U2", "C1", "G1", 2, 1, 0, 1),
+    ("U2", "C1", "G1", 0, 0, 2, 1),
+    ("U3", "C1", "G2", 1, 0, 0, 1),
+    ("U3", "C1", "G2", 0, 1, 1, 0),
+    ("U4", "C1", "G2", 0, 0, 1, 1),
+    ("U4", "C1", "G2", 1, 1, 0, 0),
+    ("U1", "C2", "G1", 0, 1, 1, 0),
+    ("U2", "C2", "G1", 1, 0, 1, 0),
+    ("U3", "C2", "G2", 0, 1, 0, 1),
+    ("U4", "C2", "G2", 1, 0, 0, 1),
+]
 SPEC = AccumulateSpec(["unit"], ["conv"], list("ABCD"), ["seq"], metadata=["grp", "num"], back=2)
 
 
 @pytest.fixture(scope="module")
 def toy(spark):
     rows = []
-    for i, line in enumerate(TOY.split("|")):
-        u, c, g, bits = line.split()
-        rows.append((i, u, c, g, float(u[1]), *map(float, bits)))
+    for i, (u, c, g, *codes) in enumerate(TOY):
+        rows.append((i, u, c, g, float(u[1]), *map(float, codes)))
     return spark.createDataFrame(rows, ["seq", "unit", "conv", "grp", "num", *"ABCD"])
 
 
@@ -103,6 +117,7 @@ def test_formulas():
 def test_elastic_net_goldens():
     from tests_data import ELASTIC_X, ELASTIC_Y
 
+    # The first response's coefficients by penalty.
     want = {0.5: [0.139294774, 0, 0, 0], 0.1: [0.139294774, 0.037236333, 0, 0], 0.02: [-0.004029421, 0.079162044, 0.069697368, 0.007858941], 0.004: [-0.090153212, 0.068545912, 0.114974227, -0.001000916]}
     for penalty, first in want.items():
         fit = elastic_net(ELASTIC_X, ELASTIC_Y, penalty, 1.0, [0, 1, 1, 1])

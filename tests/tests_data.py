@@ -1,6 +1,19 @@
 """Twelve units' predictors and responses of the elastic-net examples."""
 
-ELASTIC_X = [[float(i > 6), float((i - 1) % 3 + 1), float((i > 6) * ((i - 1) % 3 + 1)), i / 12] for i in range(1, 13)]
+ELASTIC_X = [
+    [0.0, 1.0, 0.0, 0.08333333333333333],
+    [0.0, 2.0, 0.0, 0.16666666666666666],
+    [0.0, 3.0, 0.0, 0.25],
+    [0.0, 1.0, 0.0, 0.3333333333333333],
+    [0.0, 2.0, 0.0, 0.4166666666666667],
+    [0.0, 3.0, 0.0, 0.5],
+    [1.0, 1.0, 1.0, 0.5833333333333334],
+    [1.0, 2.0, 2.0, 0.6666666666666666],
+    [1.0, 3.0, 3.0, 0.75],
+    [1.0, 1.0, 1.0, 0.8333333333333334],
+    [1.0, 2.0, 2.0, 0.9166666666666666],
+    [1.0, 3.0, 3.0, 1.0],
+]
 
 ELASTIC_Y = [
     [-0.12841495341570858, 0.28888237554329987, -0.14090077960413011],
