@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzagraph.functions.columns import quoted, upper_triangle
+from stanzagraph.functions.columns import co_occurrences, quoted
+from stanzagraph.functions.linalg import moments
 from stanzagraph.functions.rotations import Generalized, Hena, Mean, Regression, Spherical
 from stanzagraph.operators import stats
 from stanzagraph.operators.accumulate import accumulate, provenance, row_lag_sums, unit_metadata, used
 from stanzagraph.operators.graph import network_edges
-from stanzagraph.operators.model import fit, has_signal, line_weights, skip_sphere_norm
+from stanzagraph.operators.model import ena, fit, has_signal, line_weights, skip_sphere_norm
 from stanzagraph.plans import inputs
 from stanzagraph.spec import AccumulateSpec, adjacency, ordered_adjacency
 
@@ -142,6 +145,22 @@ def _wide_forward(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["acc_forward20"] = Query(_wide_forward, f"WITH {inputs.EVENTS_SQL}, {moving_sql('ev', CODES, 3, 20, 'user_id', 'event_id', sum_sql)} {sums_sql(NAMES, 'user_id')}")
 
+#: Codes of very different size, whose sums a double holds exactly in any order.
+SIZED = dict(zip(CODES, [0.25, 1048576.0, 0.5, 33554432.0, 0.125, 3.0], strict=True))
+SIZED_SQL = "ev AS (SELECT * REPLACE (" + ", ".join(f"{c} * {x}::DOUBLE AS {c}" for c, x in SIZED.items()) + ") FROM e0)"
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.events(spark, d).withColumns({c: F.col(c) * x for c, x in SIZED.items()})
+
+
+for _name, _args in {"sized_b200": (200, 0, "sum"), "sized_forward20": (3, 20, "sum"), "sized_binary_forward20": (200, 20, "binary")}.items():
+    _wrap = binary_sql if _args[2] == "binary" else sum_sql
+    QUERIES[_name] = Query(
+        lambda spark, d, a=_args: plain(accumulate(_sized(spark, d), replace(EVENTS, back=a[0], forward=a[1], weight=a[2])).counts, ["user_id"], EDGES),
+        f"WITH {inputs.EVENTS_SQL.replace('ev AS', 'e0 AS', 1)}, {SIZED_SQL}, {moving_sql('ev', CODES, _args[0], _args[1], 'user_id', 'event_id', _wrap)} {sums_sql(NAMES, 'user_id')}",
+    )
+
 _factor = [MASK[e.source_index][e.target_index] for e in adjacency(CODES)]
 QUERIES["acc_mask"] = Query(_accumulated(replace(EVENTS, mask=MASK)), f"WITH {inputs.EVENTS_SQL}, {moving_sql('ev', CODES, 4, 0, 'user_id', 'event_id', lambda c, k: f'({binary_sql(c)}) * {_factor[k]}::DOUBLE')} {sums_sql(NAMES, 'user_id')}")
 QUERIES["acc_weight_sqrt"] = Query(
@@ -181,7 +200,7 @@ QUERIES["ref_lag"] = Query(
     f"WITH {inputs.EVENTS_SQL} SELECT event_id, " + ", ".join(f"sum({c}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS {c}" for c in CODES) + " FROM ev",
 )
 QUERIES["co_occurrences"] = Query(
-    lambda spark, d: inputs.events(spark, d).select("event_id", *[F.when(x > 0, 1.0).otherwise(0.0).alias(n) for x, n in zip(upper_triangle([F.col(c) for c in CODES]), NAMES, strict=True)]),
+    lambda spark, d: inputs.events(spark, d).select("event_id", *[x.alias(n) for x, n in zip(co_occurrences([F.col(c) for c in CODES]), NAMES, strict=True)]),
     f"WITH {inputs.EVENTS_SQL} SELECT event_id, " + ", ".join(f"{binary_sql(c)} AS {n}" for c, n in zip(_tri(CODES), NAMES, strict=True)) + " FROM ev",
 )
 
@@ -215,6 +234,12 @@ for _name, _back, _mask in (("ordered_b1", 1, None), ("ordered_b4", 4, None), ("
     )
 
 
+QUERIES["ordered_sized"] = Query(
+    lambda spark, d: plain(accumulate(_sized(spark, d), replace(_ORDERED, back=200)).counts, ["user_id"], _ORDERED_EDGES),
+    f"WITH {inputs.EVENTS_SQL.replace('ev AS', 'e0 AS', 1)}, {SIZED_SQL}, {ordered_sql('ev', CODES, 200, 'user_id', 'event_id')} {sums_sql([safe(n) for n in _ORDERED_EDGES], 'user_id')}",
+)
+
+
 def _provenance(spark: SparkSession, d: str) -> DataFrame:
     return provenance(inputs.events(spark, d), _ORDERED, "event_id").select("event_id", F.col("horizon_label").alias("horizon"), "previous", "prior_count")
 
@@ -289,8 +314,24 @@ QUERIES["regression_x"] = Query(_first_axis(Regression("V ~ parity")), _slopes)
 QUERIES["generalized_rr1"] = Query(_first_axis(Generalized("parity")), _slopes)
 QUERIES["hena_x"] = Query(_first_axis(Hena("parity")), _slopes)
 QUERIES["spherical_sph1"] = Query(_first_axis(Spherical(EDGES[0], EDGES[1])), f"{PT} SELECT user_id, round(x, 9) + 0e0 AS axis_1 FROM pt")
-QUERIES["regression2"] = Query(lambda spark, d: _points(spark, d, Regression("parity ~ V"), spec=replace(EVENTS, codes=CODES[:4])))
-QUERIES["generalized_select2"] = Query(lambda spark, d: _points(spark, d, Generalized("parity", select2=("parity = 0", "parity = 1"))))
+
+
+def _regression2(spark: SparkSession, d: str) -> DataFrame:
+    """A user's days are the units, so that there are more of them than edges in every table."""
+    acc, model = _fitted(spark, d, Regression("parity ~ V"), spec=replace(EVENTS, units=["user_id", "day"]))
+    return model.points(acc.counts).select("user_id", "day", *[quoted(n).alias(f"axis_{i + 1}") for i, n in enumerate(model.shown)])
+
+
+QUERIES["regression2"] = Query(_regression2)
+QUERIES["generalized_select2"] = Query(_first_axis(Generalized("parity", select2=("parity = 0", "parity = 1"))), QUERIES["mean_rotation_mr1"].sql)
+
+
+def _ena(spark: SparkSession, d: str) -> DataFrame:
+    acc, model = ena(inputs.events(spark, d), EVENTS, Spherical(EDGES[0], EDGES[1]))
+    return model.points(acc.counts).select("user_id", *[(F.round(n, 9) + F.lit(0.0)).alias(n) for n in ("SPH1", "SPH2")])
+
+
+QUERIES["ena_points"] = Query(_ena, f'{PT} SELECT user_id, round(x, 9) + 0e0 AS "SPH1", round(y, 9) + 0e0 AS "SPH2" FROM pt')
 
 
 def _generalized_segment(spark: SparkSession, d: str) -> DataFrame:
@@ -302,11 +343,28 @@ QUERIES["generalized_segment"] = Query(_generalized_segment)
 
 
 def _shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of two axes that are edges, and of all axes together."""
+    acc, model = _fitted(spark, d, Spherical(EDGES[0], EDGES[1]))
+    shares = model.variance(acc.counts)
+    rows = [(n, round(shares[n], 9) + 0.0) for n in ("SPH1", "SPH2")] + [("all", round(sum(shares.values()), 9))]
+    return spark.createDataFrame(rows, "axis string, share double")
+
+
+_trace = " + ".join(f"var_samp({n})" for n in NAMES)
+QUERIES["variance_shares"] = Query(_shares, f"{CE}, sh AS (SELECT var_samp({NAMES[0]}) / ({_trace}) AS a, var_samp({NAMES[1]}) / ({_trace}) AS b FROM ce) SELECT 'SPH1' AS axis, round(a, 9) + 0e0 AS share FROM sh UNION ALL SELECT 'SPH2', round(b, 9) + 0e0 FROM sh UNION ALL SELECT 'all', 1.0::DOUBLE")
+
+
+def _axis_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Points on SVD axes: each axis' variance is its eigenvalue, and axes don't correlate; counted axes that hold to it."""
     acc, model = _fitted(spark, d)
-    return spark.createDataFrame(list(model.variance(acc.counts).items()), "axis string, share double")
+    e = len(EDGES)
+    scatter = moments(model.points(acc.counts), F.col("all_points"), e)
+    spread = scatter.scatter / max(1, scatter.n - 1)
+    held = int((abs(spread - np.diag(model.axes.eigenvalues)).max(axis=1) < 1e-9).sum())
+    return spark.createDataFrame([(held, bool((np.diff(model.axes.eigenvalues) <= 1e-12).all()))], "axes int, descending boolean")
 
 
-QUERIES["variance_shares"] = Query(_shares)
+QUERIES["svd_axes"] = Query(_axis_spread, f"SELECT {len(EDGES)} AS axes, true AS descending")
 
 
 def _ordered_points(spark: SparkSession, d: str) -> DataFrame:
@@ -349,11 +407,25 @@ def _centroids(spark: SparkSession, d: str) -> DataFrame:
 def _project_in(spark: SparkSession, d: str) -> DataFrame:
     """Even users' space, all users in it."""
     rows = inputs.events(spark, d)
-    _, model = _fitted(spark, d, rows=rows.filter("parity = 0"))
-    return model.transform(accumulate(rows, EVENTS)).select("user_id", *[quoted(n).alias(f"axis_{i + 1}") for i, n in enumerate(model.shown)])
+    _, model = _fitted(spark, d, Spherical(EDGES[0], EDGES[1]), rows=rows.filter("parity = 0"))
+    return model.transform(accumulate(rows, EVENTS)).select("user_id", *[(F.round(quoted(n), 9) + F.lit(0.0)).alias(f"axis_{i + 1}") for i, n in enumerate(model.shown)])
+
 
+QUERIES |= {"node_positions": Query(_nodes), "centroids": Query(_centroids)}
+QUERIES["project_in"] = Query(_project_in, f"{LW}, mu AS (SELECT avg({NAMES[0]}) AS a, avg({NAMES[1]}) AS b FROM lw WHERE signal AND parity = 0) SELECT user_id, round(CASE WHEN signal THEN {NAMES[0]} - a ELSE 0 END, 9) + 0e0 AS axis_1, round(CASE WHEN signal THEN {NAMES[1]} - b ELSE 0 END, 9) + 0e0 AS axis_2 FROM lw, mu")
 
-QUERIES |= {"node_positions": Query(_nodes), "centroids": Query(_centroids), "project_in": Query(_project_in)}
+
+def _node_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Normal equations of the nodes' places: what they leave of the points doesn't correlate with any code's weight."""
+    acc, model = _fitted(spark, d, Spherical(EDGES[0], EDGES[1]), nodes=True)
+    p = len(CODES)
+    both = model.weights(acc.counts).select("ENA_UNIT", "weights", F.slice("centred", 1, 2).alias("point"))
+    m = moments(both, F.concat("weights", "point"), p + 2)
+    left = m.gram[:p, p:] - m.gram[:p, :p] @ model.nodes
+    return spark.createDataFrame([(int((abs(left) < 1e-6 * max(1, m.n)).all(axis=1).sum()), m.n)], "codes int, units long")
+
+
+QUERIES["node_fit"] = Query(_node_fit, f"SELECT {len(CODES)} AS codes, count(DISTINCT user_id) AS units FROM events")
 
 # --- statistics --------------------------------------------------------------------------
 
@@ -407,14 +479,38 @@ def _pairs(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         points = _placed(spark, d)
         found = stats.correlations(points.select("ENA_UNIT", "user_id", "x"), points.select(F.col("ENA_UNIT").alias("unit"), F.col("y").alias("x")), ["x"], order="user_id")[0]
-        return spark.createDataFrame([(found["pairs"], round(found[kind], 7) + 0.0)], f"pairs long, {kind} double")
+        return spark.createDataFrame([(found["pairs"], round(found[kind], 7 if kind == "pearson" else 5) + 0.0)], f"pairs long, {kind} double")
 
     return run
 
 
 _DIFF = f"{PT}, df AS (SELECT a.x - b.x AS u, a.y - b.y AS v FROM pt a JOIN pt b ON a.user_id < b.user_id)"
 QUERIES["pair_pearson"] = Query(_pairs("pearson"), f"{_DIFF} SELECT count(*) AS pairs, round(corr(u, v), 7) + 0e0 AS pearson FROM df")
-QUERIES["pair_spearman"] = Query(_pairs("spearman"))
+QUERIES["pair_spearman"] = Query(_pairs("spearman"), f"{_DIFF}, dr AS (SELECT rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2 AS a, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS b FROM (SELECT round(u, 12) + 0e0 AS u, round(v, 12) + 0e0 AS v FROM df)) SELECT count(*) AS pairs, round(corr(a, b), 5) + 0e0 AS spearman FROM dr")
+
+
+def _interval(spark: SparkSession, d: str) -> DataFrame:
+    """Fisher's interval of pair_pearson, and normal quantiles."""
+    points = _placed(spark, d)
+    found = stats.correlations(points.select("ENA_UNIT", "user_id", "x"), points.select(F.col("ENA_UNIT").alias("unit"), F.col("y").alias("x")), ["x"], order="user_id")[0]
+    return spark.createDataFrame([(round(found["interval"][0], 6) + 0.0, round(found["interval"][1], 6) + 0.0, round(stats.inverse_normal(0.975), 9), round(stats.inverse_normal(0.5), 9) + 0.0)], "low double, high double, q975 double, q500 double")
+
+
+QUERIES["pearson_interval"] = Query(_interval, f"{_DIFF}, cr AS (SELECT atanh(corr(u, v)) AS z, 1.959963984540054 / sqrt(count(*) - 3) AS h FROM df) SELECT round(tanh(z - h), 6) + 0e0 AS low, round(tanh(z + h), 6) + 0e0 AS high, 1.959963985::DOUBLE AS q975, 0e0 AS q500 FROM cr")
+
+
+def _all_stats(spark: SparkSession, d: str) -> DataFrame:
+    points = _placed(spark, d).withColumnsRenamed({"x": "SPH1", "y": "SPH2"})
+    found = stats.ena_stats(points, points.select(F.col("ENA_UNIT").alias("unit"), "SPH1", "SPH2"), [1, 2], "parity")
+    t = {n: found[n]["test"] for n in ("SPH1", "SPH2")}
+    return spark.createDataFrame([(n, round(abs(t[n]["t"]), 8), round(found[n]["cohens_d"], 8), r["n"], round(r["mean"], 9) + 0.0) for n, r in ((n, next(r for r in found["summary"] if r["dimension"] == n)) for n in t)], "dimension string, t double, cohens_d double, n long, mean double")
+
+
+_tests = " UNION ALL ".join(
+    f"SELECT '{axis}' AS dimension, round(abs(a.m{c} - b.m{c}) / sqrt(a.v{c} / a.n + b.v{c} / b.n), 8) AS t, round(abs(a.m{c} - b.m{c}) / sqrt(((a.n - 1) * a.v{c} + (b.n - 1) * b.v{c}) / (a.n + b.n - 2)), 8) AS cohens_d, (SELECT count(*) FROM pt) AS n, (SELECT round(avg({c}), 9) + 0e0 FROM pt) AS mean FROM a, b"
+    for axis, c in (("SPH1", "x"), ("SPH2", "y"))
+)
+QUERIES["ena_stats"] = Query(_all_stats, f"{PT}, g AS (SELECT parity, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy FROM pt GROUP BY 1), a AS (SELECT * FROM g WHERE parity = 0), b AS (SELECT * FROM g WHERE parity = 1) {_tests}")
 
 # --- graphs, streams ---------------------------------------------------------------------
 
@@ -424,35 +520,69 @@ QUERIES["network_edges"] = Query(
 )
 
 
-def _streamed(spec: AccumulateSpec) -> Callable[[SparkSession, str], DataFrame]:
-    """The events as a stream of one file, its checkpoint and cells in the shared folder."""
+def _streamed(spec: AccumulateSpec, keys: tuple[str, ...] = ("user_id",), edges: list[str] = EDGES) -> Callable[[SparkSession, str], DataFrame]:
+    """The events in three files, one a micro-batch; files, checkpoint and cells are in the shared folder."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         from stanzagraph.streaming.accumulate import accumulate_stream
         from stanzagraph.streaming.folders import shared_folder
 
-        schema = spark.read.parquet(f"{d}/events.parquet").schema
-        files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
-        codes = [(F.col("event_type") == t).cast("double").alias(t) for t in inputs.EVENT_TYPES] + [(F.col("value") > inputs.HIGH).cast("double").alias("high")]
-        rows = files.select("event_id", "user_id", *codes)
-        return plain(accumulate_stream(spark, rows, spec, shared_folder(spark)), ["user_id"], EDGES)
+        rows, folder = inputs.events(spark, d), f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+        cuts = rows.agg(F.percentile("event_id", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
+        for k, part in enumerate((F.col("event_id") <= cuts[0], (F.col("event_id") > cuts[0]) & (F.col("event_id") <= cuts[1]), F.col("event_id") > cuts[1])):
+            rows.filter(part).coalesce(1).write.parquet(f"{folder}/part={k}")
+        files = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+        return plain(accumulate_stream(spark, files, spec, shared_folder(spark)), list(keys), edges)
 
     return run
 
 
-QUERIES["stream_binary_b4"] = Query(_streamed(replace(EVENTS, metadata=[])), QUERIES["acc_binary_b4"].sql)
-QUERIES["stream_forward3"] = Query(_streamed(replace(EVENTS, metadata=[], forward=3, weight="sum")), QUERIES["acc_forward3"].sql)
+def _pushed(spark: SparkSession, d: str) -> DataFrame:
+    """The events in two chunks that are pushed into a session."""
+    from stanzagraph.streaming.accumulate import accumulate_chunked
+    from stanzagraph.streaming.folders import shared_folder
 
+    return plain(accumulate_chunked(inputs.events(spark, d), replace(EVENTS, metadata=[]), shared_folder(spark), 2).finish(), ["user_id"], EDGES)
 
-def _elastic(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficients of the first edges on group and place, from a table of a row a user."""
-    import numpy as np
 
+_TOLD = replace(EVENTS, metadata=[])
+_USER_DAYS = ", ".join(f"sum({c}) AS {c}" for c in CODES)
+QUERIES["stream_binary_b4"] = Query(_streamed(_TOLD), QUERIES["acc_binary_b4"].sql)
+QUERIES["stream_forward3"] = Query(_streamed(replace(_TOLD, forward=3, weight="sum")), QUERIES["acc_forward3"].sql)
+QUERIES["stream_separate"] = Query(_streamed(replace(_TOLD, conversation=["day"], model="SeparateTrajectory"), ("user_id", "day", "TRAJ_UNIT")), QUERIES["traj_separate"].sql)
+QUERIES["stream_accumulated"] = Query(_streamed(replace(_TOLD, conversation=["day"], model="AccumulatedTrajectory"), ("user_id", "day", "TRAJ_UNIT")), QUERIES["traj_accumulated"].sql)
+QUERIES["stream_ordered_b4"] = Query(_streamed(replace(_TOLD, network="ordered"), edges=_ORDERED_EDGES), QUERIES["ordered_b4"].sql)
+QUERIES["stream_conversation"] = Query(
+    _streamed(replace(_TOLD, conversation=["day"], window="Conversation")),
+    f"WITH {inputs.EVENTS_SQL}, gr AS (SELECT user_id, day, {_USER_DAYS} FROM ev GROUP BY 1, 2), re AS (SELECT *, {', '.join(f'{binary_sql(c)} AS {n}' for c, n in zip(_tri(CODES), NAMES, strict=True))} FROM gr) {sums_sql(NAMES, 'user_id')}",
+)
+QUERIES["session_binary_b4"] = Query(_pushed, QUERIES["acc_binary_b4"].sql)
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Counts written, read back and checked against their specification."""
+    from stanzagraph.sources.tables import load_counts, read_rows, save_counts
+    from stanzagraph.streaming.folders import shared_folder
+
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    rows = read_rows(spark, f"{d}/events.parquet")
+    codes = inputs.events(spark, d).join(rows.select("event_id"), "event_id", "left_semi")
+    save_counts(accumulate(codes, _TOLD).counts, path)
+    return plain(load_counts(spark, path, _TOLD), ["user_id"], EDGES)
+
+
+QUERIES["stored_binary_b4"] = Query(_stored, QUERIES["acc_binary_b4"].sql)
+
+
+def _elastic(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients of places on group and user number, from a table of a row a user; without a penalty they are least squares."""
     from stanzagraph.functions.elasticnet import elastic_net
 
     rows = _placed(spark, d).orderBy("user_id").select("parity", "user_id", "x", "y").toPandas().to_numpy(float)
-    found = elastic_net(np.column_stack([rows[:, 0], rows[:, 1]]), rows[:, 2:], 0.01)
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(found.coefficients)], "predictor long, x double, y double")
+    found = elastic_net(np.column_stack([rows[:, 0], rows[:, 1]]), rows[:, 2:], 0.0)
+    return spark.createDataFrame([(i, round(float(a), 6) + 0.0, round(float(b), 6) + 0.0) for i, (a, b) in enumerate(found.coefficients)], "predictor long, x double, y double")
 
 
-QUERIES["elastic_net"] = Query(_elastic)
+_covs = ", ".join(f"covar_samp({a}, {b}) AS {k}" for k, a, b in (("pp", "parity", "parity"), ("uu", "user_id", "user_id"), ("pu", "parity", "user_id"), ("px", "parity", "x"), ("ux", "user_id", "x"), ("py", "parity", "y"), ("uy", "user_id", "y")))
+_ols = lambda own, other, c: f"round(({own}{c} * {other}{other} - {other}{c} * pu) / (pp * uu - pu * pu), 6) + 0e0"
+QUERIES["elastic_net"] = Query(_elastic, f"{PT}, cv AS (SELECT {_covs} FROM pt) SELECT 0::BIGINT AS predictor, {_ols('p', 'u', 'x')} AS x, {_ols('p', 'u', 'y')} AS y FROM cv UNION ALL SELECT 1::BIGINT, {_ols('u', 'p', 'x')}, {_ols('u', 'p', 'y')} FROM cv")
