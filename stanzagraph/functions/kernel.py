@@ -103,7 +103,8 @@ def exactly_summed(codes: np.ndarray, most: float) -> bool:
 def ordered_row_cells(codes: np.ndarray, run: np.ndarray, edges: Sequence[Edge], back: int | None, carry: Sequence[Sequence[float]] | None = None) -> np.ndarray:
     """Earlier ground to present response, and half of a row's own pairs each way.
 
-    A window's sum is rounded once. ``carry`` holds, for each code, numbers whose sum is
+    A window's sum is rounded once. A product that overflows, or that is 0 though its parts
+    aren't, is an error. ``carry`` holds, for each code, numbers whose sum is
     that of the first conversation's earlier rows.
     """
     n, p = codes.shape
@@ -112,7 +113,9 @@ def ordered_row_cells(codes: np.ndarray, run: np.ndarray, edges: Sequence[Edge],
     first = starts_of(run)
     size = np.arange(n) - first if back is None else np.minimum(np.arange(n) - first, back - 1)
     held = [list(c) for c in carry] if carry is not None else [[] for _ in range(p)]
-    if exactly_summed(codes, float(codes.sum())) and not any(held):
+    with np.errstate(over="ignore"):
+        plain = exactly_summed(codes, float(codes.sum()))
+    if plain and not any(held):
         before = before_of(codes, run, None if back is None else 1 - back)
     else:
         before, parts = np.zeros((n, p)), held
@@ -127,7 +130,15 @@ def ordered_row_cells(codes: np.ndarray, run: np.ndarray, edges: Sequence[Edge],
                 expand(parts[i], float(codes[t, i]))
     g, r = [e.source_index for e in edges], [e.target_index for e in edges]
     big, small = np.maximum(codes[:, g], codes[:, r]), np.minimum(codes[:, g], codes[:, r])
-    return before[:, g] * codes[:, r] + np.where(np.asarray(g) != np.asarray(r), 0.5 * big * small, 0.0)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        lagged, same = before[:, g] * codes[:, r], np.where(np.asarray(g) != np.asarray(r), 0.5 * big * small, 0.0)
+        cells = lagged + same
+    lost = (lagged == 0) & (before[:, g] > 0) & (codes[:, r] > 0) | (same == 0) & (small > 0) & (np.asarray(g) != np.asarray(r))
+    for bad, what in ((~np.isfinite(cells), "overflows"), (lost, "vanishes")):
+        if bad.any():
+            e = edges[int(np.flatnonzero(bad.any(axis=0))[0])]
+            raise ValueError(f"edge {e.name} {what}: codes are beyond the range of doubles")
+    return cells
 
 
 def expand(parts: list[float], x: float) -> None:

@@ -34,6 +34,9 @@ class Accumulation:
             path = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
             self.counts.write.parquet(path)
             self.counts, self.kept = spark.read.schema(self.counts.schema).parquet(path), True
+            most = self.spec.budget.cells if self.spec.network == "ordered" else None
+            if most is not None and self.counts.count() * len(self.edges) > most:
+                raise ValueError(f"ordered networks: more than {most} cells")
         return self
 
     @property
@@ -215,7 +218,7 @@ def exact_counts(acc: Accumulation) -> DataFrame:
 
 def stable_metadata(df: DataFrame, spec: AccumulateSpec) -> list[str]:
     """Metadata columns that don't vary within any unit. One small action."""
-    if not spec.metadata:
+    if not spec.metadata or not spec.include_meta:
         return []
     units = [quoted(u) for u in spec.units]
     per_unit = df.groupBy(*units).agg(*[F.countDistinct(F.coalesce(quoted(m).cast("string"), F.lit(""))).alias(f"m{i}") for i, m in enumerate(spec.metadata)])

@@ -69,9 +69,10 @@ def row_cells(named: DataFrame, spec: AccumulateSpec, by: list[Column], codes: l
 
         for new, last in tables():
             table = new if held is None else pa.concat_tables([held, new])
-            n, run = table.num_rows, runs_of(table, keys)
+            n = table.num_rows
             if not n:
                 continue
+            run = runs_of(table, keys)
             values = table.column("__codes").combine_chunks()
             x = values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             open_from = int(np.searchsorted(run, run[-1]))  # the last conversation may go on
@@ -87,7 +88,8 @@ def row_cells(named: DataFrame, spec: AccumulateSpec, by: list[Column], codes: l
                 offsets = pa.array(np.arange(0, (ready - done + 1) * len(edges), len(edges), dtype=np.int32))
                 told = table.slice(done, ready - done).select(out).append_column("__cells", pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(made).ravel())))
                 yield from told.to_batches(max_chunksize=ROWS)
-            keep = max(open_from, ready - (back - 1 if back else 0) if back is not None else ready)
+            # without a bound one row stays, so that it shows whether the next rows go on with its conversation
+            keep = max(open_from, min(ready, n - 1) if back is None else ready - max(0, back - 1))
             if back is None:
                 if open_from > 0 or carry is None:
                     carry = [[] for _ in range(x.shape[1])]
@@ -185,6 +187,8 @@ def summed(rows: DataFrame, keys: list[str], edges: int) -> DataFrame:
             for i, k in enumerate(sizes.tolist()):
                 own = np.vstack([h[at : at + k], w[at : at + k]])
                 at += k
+                if not np.isfinite(own).all():
+                    raise ValueError("a unit's sums are beyond the range of doubles")
                 sums[i] = own.sum(axis=0) if exactly_summed(2 * own, 2 * float(np.abs(own).sum())) else [math.fsum(c) for c in own.T.tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * edges, edges, dtype=np.int32)), pa.array(sums.ravel()))], names=[*keys, "first_seen", "__sums"])
 

@@ -29,13 +29,13 @@ class Runs:
         def run() -> None:
             if not future.set_running_or_notify_cancel():
                 return
-            self.spark.addTag(tag)
+            self.spark.sparkContext.addJobTag(tag)
             try:
                 future.set_result(work(self.spark))
             except BaseException as error:  # the future carries it to whoever waits
                 future.set_exception(error)
             finally:
-                self.spark.removeTag(tag)
+                self.spark.sparkContext.removeJobTag(tag)
 
         from pyspark import InheritableThread
 
@@ -44,7 +44,7 @@ class Runs:
 
     def cancel(self, future: Future) -> None:
         if not future.cancel() and future in self._tags:
-            self.spark.interruptTag(self._tags[future])
+            self.spark.sparkContext.cancelJobsWithTag(self._tags[future])
 
 
 __all__ = ["Runs"]

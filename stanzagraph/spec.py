@@ -32,10 +32,13 @@ class Edge:
 
 @dataclass(frozen=True)
 class Budget:
-    """Limits of an ordered network; its size grows with the square of the codes."""
+    """Limits of an ordered network; its size grows with the square of the codes.
+
+    ``cells`` (units times edges) is looked at when counts are written for a model; None: no limit.
+    """
 
     codes: int = 64
-    cells: int = 50_000_000
+    cells: int | None = None
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,8 @@ class AccumulateSpec:
     ``back`` counts the current row (0 and 1: the row alone); None is without bound, also
     for ``forward``. ``order_by`` must order the rows of a conversation totally; moving
     windows need it. ``weight`` is "binary", "sum" or a function of one cell's Column.
-    ``mask`` has a row for each source (ground) and a column for each target (response).
+    scalar() makes such a function of one of numbers. Without ``include_meta`` units have no
+    metadata. ``mask`` has a row for each source (ground) and a column for each target (response).
     """
 
     units: Sequence[str]
@@ -62,6 +66,7 @@ class AccumulateSpec:
     mask: Sequence[Sequence[float]] | None = None
     units_used: Sequence[str] | None = None
     legacy_display_keys: bool = False
+    include_meta: bool = True
     budget: Budget = field(default_factory=Budget)
 
     def __post_init__(self) -> None:
@@ -136,6 +141,18 @@ def ordered_adjacency(codes: Sequence[str]) -> list[Edge]:
     return [Edge(g, r, gi, ri) for ri, r in enumerate(codes) for gi, g in enumerate(codes)]
 
 
+def scalar(weight: Callable[[float], float]) -> Callable[[Column], Column]:
+    """A weight that is a Python function of a number, applied batch by batch."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def each(x: pd.Series) -> pd.Series:
+        return x.map(weight).astype(float)
+
+    each.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(each, "double")
+
+
 def pairs_of(n: int) -> list[tuple[int, int]]:
     """Pairs i < j in lexicographic order: (0,1), (0,2) ... (1,2) ..."""
     return [(i, j) for i in range(n) for j in range(i + 1, n)]

@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 
 from stanzagraph.operators.accumulate import accumulate, check_order, exact_counts, provenance, unit_metadata, used
 from stanzagraph.operators.checks import check_counts, check_numbers, check_provenance
-from stanzagraph.spec import AccumulateSpec, adjacency, ordered_adjacency
+from stanzagraph.spec import AccumulateSpec, Budget, adjacency, ordered_adjacency, pairs_of, scalar
 
 
 def tri(v):
@@ -101,3 +102,77 @@ def test_specifications_are_checked(spark):
             AccumulateSpec(**(good | bad))
     with pytest.raises(ValueError, match="missing"):
         accumulate(spark.createDataFrame([(1,)], ["u"]), AccumulateSpec(**good))
+
+
+def test_codes_of_very_different_size_do_not_cancel(spark):
+    rows = [("u", 0, 1e16, 1e16), *[("u", i, 0.0, 0.0) for i in range(1, 150)], ("u", 150, 0.5, 0.5), ("u", 151, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, ["u", "seq", "A", "B"])
+    for back, forward in ((2, 0), (100, 0), (129, 0), (3, 17), (3, 16)):
+        acc = accumulate(df, AccumulateSpec(["u"], ["u"], ["A", "B"], ["seq"], back=back, forward=forward, weight="sum"))
+        want = [c[0] for c in brute_cells([list(r[2:]) for r in rows], back, forward)]
+        assert [r["A & B"] for r in acc.rows.orderBy("seq").collect()] == want
+
+
+def test_legacy_keys_in_any_window(spark):
+    rows = [("u", None, 0, 1.0, 0.0), ("u", "", 1, 0.0, 1.0), ("u", None, 2, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "u string, conv string, seq int, A double, B double")
+    for forward in (2, 17, 40):
+        spec = AccumulateSpec(["u"], ["conv"], ["A", "B"], ["seq"], back=3, forward=forward, weight="sum", legacy_display_keys=True)
+        want = [c[0] for c in brute_cells([list(r[3:]) for r in rows], 3, forward)]
+        assert [r["A & B"] for r in accumulate(df, spec).rows.orderBy("seq").collect()] == want
+
+
+@pytest.mark.parametrize("more", [dict(back=3), dict(back=None, weight="sum"), dict(back=2, forward=3, weight="sum"), dict(back=None, forward=2), dict(back=3, network="ordered"), dict(back=None, network="ordered"), dict(back=3, model="AccumulatedTrajectory"), dict(back=4, legacy_display_keys=True), dict(back=2, units_used=["u1"])])
+def test_many_edges_give_what_few_give(spark, monkeypatch, more):
+    from stanzagraph.operators import vector
+
+    rng = random.Random(3)
+    codes = [f"K{i}" for i in range(5)]
+    rows = [(f"u{rng.randint(0, 3)}", rng.choice(["a", "b", None]), i, *[rng.choice([0.0, 0.0, 1.0, 0.1, 3e15]) for _ in codes]) for i in range(160)]
+    df = spark.createDataFrame(rows, "unit string, conv string, seq int, " + ", ".join(f"{c} double" for c in codes)).repartition(3)
+    spec = AccumulateSpec(["unit"], ["conv"], codes, ["seq"], **more)
+    told = lambda acc: sorted(((r["ENA_UNIT"], r.asDict().get("TRAJ_UNIT"), str(r["first_seen"])), [r[e] for e in acc.edge_names]) for r in acc.counts.collect())
+    few = told(accumulate(df, spec))
+    monkeypatch.setattr(vector, "WIDE", 1)
+    monkeypatch.setattr(vector, "ROWS", 16)
+    many = told(accumulate(df, spec))
+    assert [k for k, _ in many] == [k for k, _ in few]
+    assert all(a == pytest.approx(b, rel=1e-12) for (_, a), (_, b) in zip(many, few))
+
+
+def test_ordered_sums_are_rounded_once(spark):
+    rows = [("u", i, x, 1.0) for i, x in enumerate([1e16, 1.0, 1.0, 0.1, 0.2, 0.3, -0.0])]
+    df = spark.createDataFrame(rows, ["u", "seq", "A", "B"]).repartition(3)
+    acc = accumulate(df, AccumulateSpec(["u"], ["u"], ["A", "B"], ["seq"], network="ordered", back=4))
+    own = [r[2] for r in rows]
+    before = [math.fsum(own[max(0, i - 3) : i]) for i in range(len(own))]
+    assert [r["A & B"] for r in acc.rows.orderBy("seq").collect()] == [b + 0.5 * x for b, x in zip(before, own)]
+    assert acc.counts.first()["A & B"] == math.fsum(b + 0.5 * x for b, x in zip(before, own))
+
+
+def test_ordered_networks_neither_overflow_nor_vanish(spark):
+    spec = AccumulateSpec(["u"], ["u"], ["A", "B"], ["seq"], network="ordered", back=2)
+    for a, b, what in ((1e200, 1e200, "overflows"), (1e-200, 1e-200, "vanishes")):
+        df = spark.createDataFrame([("u", 0, a, 0.0), ("u", 1, 0.0, b)], ["u", "seq", "A", "B"])
+        with pytest.raises(Exception, match=what):
+            accumulate(df, spec).counts.collect()
+
+
+def test_units_that_are_not_there_are_an_error(spark):
+    df = spark.createDataFrame([("u", 0, 1.0, 1.0)], ["u", "seq", "A", "B"])
+    with pytest.raises(ValueError, match="units_used"):
+        accumulate(df, AccumulateSpec(["u"], ["u"], ["A", "B"], ["seq"], units_used=["nobody"]))
+
+
+def test_scalar_weights_and_no_metadata(spark):
+    df = spark.createDataFrame([("u", i, float(i), 4.0, "m") for i in range(4)], ["u", "seq", "A", "B", "meta"])
+    spec = AccumulateSpec(["u"], ["u"], ["A", "B"], ["seq"], back=2, weight=scalar(math.sqrt), metadata=["meta"], include_meta=False)
+    cells = [c[0] for c in brute_cells([[float(i), 4.0] for i in range(4)], 2, 0)]
+    assert accumulate(df, spec).counts.first()["A & B"] == pytest.approx(sum(map(math.sqrt, cells)))
+    assert "meta" not in unit_metadata(df, spec).columns
+    with pytest.raises(ValueError, match="cells"):
+        accumulate(df, AccumulateSpec(["u"], ["u"], ["A", "B"], ["seq"], network="ordered", budget=Budget(cells=3))).materialized()
+
+
+def test_pairs():
+    assert pairs_of(4) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
