@@ -11,11 +11,11 @@ LEAST = 1e-4
 
 
 def incidence(edges: list[Edge], codes: int, method: str) -> np.ndarray:
-    """Edges x codes: half of an edge to each end, or (directed) all of it to each, a loop once."""
+    """Edges x codes: half of an edge to each end, or (directed, paired) all of it to each, a loop once."""
     share = 0.5 if method == "undirected" else 1.0
     h = np.zeros((len(edges), codes))
     for k, e in enumerate(edges):
-        if method == "directed" and e.source_index == e.target_index:
+        if method != "undirected" and e.source_index == e.target_index:
             h[k, e.source_index] = 1.0
         else:
             h[k, e.source_index] += share
@@ -31,10 +31,3 @@ def node_weights(lines: np.ndarray, h: np.ndarray) -> np.ndarray:
 def positions(gram: np.ndarray, products: np.ndarray) -> np.ndarray:
     """Codes x dimensions from the weights' Gram matrix and their products with the points."""
     return np.linalg.solve(gram + RIDGE * np.eye(len(gram)), products)
-
-
-def paired_weights(weights: np.ndarray) -> np.ndarray:
-    """Ground and response rows 2k and 2k + 1 added."""
-    if len(weights) % 2:
-        raise ValueError("pairs of rows are asked for")
-    return weights[0::2] + weights[1::2]

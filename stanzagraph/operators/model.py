@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +52,7 @@ class Model:
     method: str
     dimensions: int
     nodes: np.ndarray | None = None
+    pair: tuple[str, ...] = ()
 
     @property
     def shown(self) -> list[str]:
@@ -98,16 +99,23 @@ class Model:
     def fit_nodes(self, counts: DataFrame) -> np.ndarray:
         """One pass: the weights' products with themselves and with the shown points."""
         h, matrix, p = incidence(self.edges, len(self.codes), self.method), self.axes.matrix[:, : self.dimensions], len(self.codes)
+        keys = len(self.pair)
         width = p + matrix.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                lines, centred = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for i in range(2))
+                lines, centred = (b.column(keys + i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for i in range(2))
                 both = np.hstack([node_weights(lines, h), centred @ matrix]) if b.num_rows else np.zeros((0, width))
                 offsets = pa.array(np.arange(0, (len(both) + 1) * width, width, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], names=["v"])
-
-        rows = self.centred(counts).select("lines", "centred").mapInArrow(run, "v array<double>")
+                yield pa.RecordBatch.from_arrays([*b.columns[:keys], pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], names=[*self.pair, "v"])
+
+        units = self.centred(counts).select(*[quoted(c) for c in self.pair], "lines", "centred")
+        rows = units.mapInArrow(run, T.StructType([*[units.schema[c] for c in self.pair], T.StructField("v", T.ArrayType(T.DoubleType()))]))
+        if self.pair:
+            pairs = rows.groupBy(*[quoted(c) for c in self.pair]).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.col("v")[i]).alias(f"__v{i}") for i in range(width)])
+            if pairs.filter("__n <> 2").take(1):
+                raise ValueError("pairs of rows are asked for")
+            rows = pairs.select(F.array(*[f"__v{i}" for i in range(width)]).alias("v"))
         m = moments(rows, F.col("v"), width)
         return positions(m.gram[:p, :p], m.gram[:p, p:])
 
@@ -121,27 +129,31 @@ class Model:
         return out.select(F.col("ENA_UNIT").alias("unit"), *[F.col("centroid")[i].alias(n) for i, n in enumerate(self.shown)])
 
     def to_json(self) -> str:
-        return json.dumps({"edges": [vars(e) for e in self.edges], "codes": self.codes, "names": self.axes.names, "matrix": self.axes.matrix.tolist(), "eigenvalues": self.axes.eigenvalues.tolist(), "center": self.center.tolist(), "align": self.align, "method": self.method, "dimensions": self.dimensions, "nodes": None if self.nodes is None else self.nodes.tolist()})
+        return json.dumps({"edges": [vars(e) for e in self.edges], "codes": self.codes, "names": self.axes.names, "matrix": self.axes.matrix.tolist(), "eigenvalues": self.axes.eigenvalues.tolist(), "center": self.center.tolist(), "align": self.align, "method": self.method, "dimensions": self.dimensions, "pair": self.pair, "nodes": None if self.nodes is None else self.nodes.tolist()})
 
     @classmethod
     def from_json(cls, text: str) -> Model:
         x = json.loads(text)
         axes = Axes(x["names"], np.asarray(x["matrix"]), np.asarray(x["eigenvalues"]))
-        return cls([Edge(**e) for e in x["edges"]], x["codes"], axes, np.asarray(x["center"]), x["align"], x["method"], x["dimensions"], None if x["nodes"] is None else np.asarray(x["nodes"]))
+        return cls([Edge(**e) for e in x["edges"]], x["codes"], axes, np.asarray(x["center"]), x["align"], x["method"], x["dimensions"], None if x["nodes"] is None else np.asarray(x["nodes"]), tuple(x.get("pair", ())))
 
 
-def fit(acc: Accumulation, rotation=None, dimensions: int = 2, align: bool = True, method: str | None = None, metadata: DataFrame | None = None, nodes: bool = True) -> Model:  # noqa: ANN001
+def fit(acc: Accumulation, rotation=None, dimensions: int = 2, align: bool = True, method: str | None = None, metadata: DataFrame | None = None, nodes: bool = True, pair: Sequence[str] = ()) -> Model:  # noqa: ANN001
     """Fit a space to an accumulation's units.
 
-    ``metadata`` (with ENA_UNIT) brings columns that a rotation refers to. Only sums over
+    ``method`` places the nodes: undirected, directed, or (with ``pair``) paired, where the two
+    rows of an ordered network that agree in the columns ``pair`` (a unit's ground and its
+    response) are added before the nodes are fitted. ``metadata`` (with ENA_UNIT) brings columns that a rotation refers to. Only sums over
     units reach the driver: the centre, products of edges, means or cross products.
     """
     rotation = rotation or Svd()
     if acc.spec.network == "ordered" and not isinstance(rotation, Svd):
         raise ValueError("ordered networks are rotated by Svd only")
     method = method or ("directed" if acc.spec.network == "ordered" else "undirected")
-    if method not in ("undirected", "directed") or (method == "directed") != (acc.spec.network == "ordered"):
-        raise ValueError("node positions: undirected for standard networks, directed for ordered ones")
+    if method not in ("undirected", "directed", "paired") or (method != "undirected") != (acc.spec.network == "ordered"):
+        raise ValueError("node positions: undirected for standard networks, directed or paired for ordered ones")
+    if (method == "paired") != bool(pair) or not set(pair) <= set(acc.spec.units):
+        raise ValueError("paired node positions need the unit columns that tell pairs")
     if isinstance(dimensions, bool) or not isinstance(dimensions, int) or dimensions < 1:
         raise ValueError("dimensions: a whole number from 1")
     names = acc.edge_names
@@ -155,7 +167,7 @@ def fit(acc: Accumulation, rotation=None, dimensions: int = 2, align: bool = Tru
     if align and m.n == 0:
         raise ValueError("no unit has any connection")
     blank = Axes([], np.zeros((len(names), 0)), np.zeros(0))
-    model = Model(acc.edges, list(acc.spec.codes), blank, m.means, align, method, min(dimensions, len(names)))
+    model = Model(acc.edges, list(acc.spec.codes), blank, m.means, align, method, min(dimensions, len(names)), pair=tuple(pair))
     units = model.centred(acc.counts)
     if metadata is not None:
         extra = [c for c in metadata.columns if c not in units.columns]

@@ -134,3 +134,21 @@ def test_plot(toy, fitted):
     assert len(plot.to_dict()["traces"]) == 4 and len(plot.traces[0]["points"]) == 2
     json.dumps(plot.to_plotly())
     assert plot.to_svg().startswith("<svg")
+
+
+def test_paired_nodes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"u{i % 6}", ("ground", "response")[i % 2 ^ i // 6 % 2], i, *map(float, rng.integers(0, 3, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, ["actor", "mode", "seq", *"ABC"])
+    spec = AccumulateSpec(["actor", "mode"], ["actor"], list("ABC"), ["seq"], network="ordered", back=3)
+    acc, model = ena(df, spec, method="paired", pair=["actor"])
+    points = {(r.actor, r["mode"]): [r.SVD1, r.SVD2] for r in model.points(acc.counts).collect()}
+    weights = {(r.actor, r["mode"]): r.weights for r in model.weights(acc.counts).collect()}
+    added = lambda by: np.array([np.add(by[f"u{k}", "ground"], by[f"u{k}", "response"]) for k in range(6)])
+    w, p = added(weights), added(points)
+    assert model.nodes == pytest.approx(np.linalg.solve(w.T @ w + 1e-10 * np.eye(3), w.T @ p), abs=1e-6)
+    for bad in (dict(method="paired"), dict(pair=["actor"]), dict(method="paired", pair=["seq"])):
+        with pytest.raises(ValueError):
+            ena(df, spec, **bad)
+    with pytest.raises(ValueError, match="pairs"):
+        ena(df.filter("actor <> 'u0' or mode = 'ground'"), spec, method="paired", pair=["actor"])
