@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanzagraph.functions.columns import quoted
 from stanzagraph.functions.linalg import Moments, completed, deflated, eigen, moments, normalized, solved
+from stanzagraph.streaming.folders import shared_folder
 
 
 @dataclass(frozen=True)
@@ -214,20 +216,33 @@ def _fitted_effect(units: Units, r: Generalized) -> np.ndarray:
     return np.linalg.svd(np.outer(design[:, 0], fit.coefficients[0]), full_matrices=False)[2][0]
 
 
-def _run_codes(df: DataFrame, name: str) -> DataFrame:
-    """A text column as the number of its run in unit order: it changes at every change."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("first_seen", "ENA_UNIT")  # one row a unit; the numbering is global by definition
-    changed = F.coalesce((quoted(name).cast("string") != F.lag(quoted(name).cast("string")).over(w)).cast("int"), F.lit(0))
-    return df.withColumn("__changed", changed).withColumn(f"{name}_f", (F.sum("__changed").over(w) + 1).cast("double")).drop("__changed")
+def run_codes(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``_f: the number of a text column's run in unit order, from 1; it changes at every change.
+
+    Units are dealt by ranges of their order. Runs are numbered within each range, and a row
+    a range tells where the numbers begin and whether a run goes on from the range before.
+    """
+    value, order = quoted(name).cast("string"), ["first_seen", "ENA_UNIT"]
+    path = f"{shared_folder(df.sparkSession)}/runs-{uuid.uuid4().hex}"
+    df.select(*order, value.alias("value")).repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    inside = Window.partitionBy("part").orderBy(*order)
+    changed = F.coalesce((F.col("value") != F.lag("value").over(inside)).cast("int"), F.lit(0))
+    runs = dealt.withColumn("changed", changed).withColumn("run", F.sum("changed").over(inside))
+    place = F.struct(*order)
+    ends = runs.groupBy("part").agg(F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"), F.sum("changed").alias("changes"))
+    w = Window.orderBy("part")  # a row a range
+    onward = F.coalesce((F.col("first") != F.lag("last").over(w)).cast("int"), F.lit(0))
+    begins = ends.withColumn("new", onward).select("part", (F.sum("new").over(w) + F.coalesce(F.sum("changes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    told = runs.join(begins, "part").select("ENA_UNIT", (F.col("before") + F.col("run") + 1).cast("double").alias(f"{name}_f"))
+    return df.join(told, "ENA_UNIT")
 
 
 def _hena(units: Units, r: Hena) -> tuple[list[np.ndarray], list[str]]:
     names, df = [], units.df
     for v in [r.x, *([r.y] if r.y else [])]:
         if not units.numeric(v):
-            df = _run_codes(df, v)
+            df = run_codes(df, v)
         names.append(v if units.numeric(v) else f"{v}_f")
     units = Units(df, units.edges)
     columns = [quoted(n).cast("double") for n in names]

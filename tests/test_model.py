@@ -152,3 +152,17 @@ def test_paired_nodes(spark):
             ena(df, spec, **bad)
     with pytest.raises(ValueError, match="pairs"):
         ena(df.filter("actor <> 'u0' or mode = 'ground'"), spec, method="paired", pair=["actor"])
+
+
+def test_runs_are_numbered_over_all_ranges(spark):
+    from stanzagraph.functions.rotations import run_codes
+
+    rng = np.random.default_rng(8)
+    values = [None if v == 3 else f"g{v}" for v in np.repeat(rng.integers(0, 4, 60), rng.integers(1, 9, 60))]
+    df = spark.createDataFrame([(f"u{i}", i, v) for i, v in enumerate(values)], "ENA_UNIT string, first_seen long, g string").repartition(5)
+    want, n = [], 1
+    for i, v in enumerate(values):
+        if i and v is not None and values[i - 1] is not None and v != values[i - 1]:
+            n += 1
+        want.append(float(n))
+    assert [r.g_f for r in run_codes(df, "g").orderBy("first_seen").collect()] == want
