@@ -35,32 +35,50 @@ class Moments:
 def moments(df: DataFrame, vector: Column, width: int) -> Moments:
     """One pass over ``vector`` (array<double>): each task adds up its own rows, a few tasks
     add those up, and the driver adds the few. What moves is the square of the width."""
+    return moments_by(df, F.lit(0), vector, width).get(0, Moments(0, np.zeros(width), np.zeros((width, width))))
 
-    def pack(n: int, s: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["n", "s", "g"])
+
+def moments_by(df: DataFrame, key: Column, vector: Column, width: int) -> dict[int, Moments]:
+    """The moments of each value of a whole-number ``key`` of a few values, in one pass."""
+    none = lambda: [0, np.zeros(width), np.zeros((width, width))]
+
+    def pack(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for k, (n, s, g) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["k", "n", "s", "g"])
+
+    def add(found: dict[int, list], k: int, n: int, s: np.ndarray, g: np.ndarray) -> None:
+        held = found.setdefault(k, none())
+        held[0] += n
+        held[1] += s
+        held[2] += g
+
+    def unpacked(row: Sequence) -> tuple[int, int, np.ndarray, np.ndarray]:
+        k, n, s, g = row
+        return k, n, np.frombuffer(bytes(s)), np.frombuffer(bytes(g)).reshape(width, width)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, g = 0, np.zeros(width), np.zeros((width, width))
+        found: dict[int, list] = {}
         for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-        if n:
-            yield pack(n, s, g)
+            keys = b.column(0).to_numpy()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for k in np.unique(keys).tolist():
+                own = x[keys == k]
+                add(found, k, len(own), own.sum(axis=0), own.T @ own)
+        yield from pack(found)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, g = 0, np.zeros(width), np.zeros((width, width))
+        found: dict[int, list] = {}
         for b in batches:
-            for k, a, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                n, s, g = n + k, s + np.frombuffer(a), g + np.frombuffer(c).reshape(width, width)
-        if n:
-            yield pack(n, s, g)
-
-    schema = "n long, s binary, g binary"
-    few = df.select(vector.alias("v")).mapInArrow(partial, schema).repartition(COMBINED).mapInArrow(combine, schema).collect()
-    n, s, g = 0, np.zeros(width), np.zeros((width, width))
-    for r in sorted(few, key=lambda r: (r["n"], bytes(r["s"]))):
-        n, s, g = n + r["n"], s + np.frombuffer(bytes(r["s"])), g + np.frombuffer(bytes(r["g"])).reshape(width, width)
-    return Moments(n, s, g)
+            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                add(found, *unpacked(row))
+        yield from pack(found)
+
+    schema = "k long, n long, s binary, g binary"
+    few = df.select(key.cast("long").alias("k"), vector.alias("v")).mapInArrow(partial, schema).repartition(COMBINED).mapInArrow(combine, schema).collect()
+    total: dict[int, list] = {}
+    for r in sorted(few, key=lambda r: (r["k"], r["n"], bytes(r["s"]))):
+        add(total, *unpacked(r))
+    return {k: Moments(*held) for k, held in total.items()}
 
 
 def mapped(df: DataFrame, vector: Column, matrix: np.ndarray, name: str) -> DataFrame:

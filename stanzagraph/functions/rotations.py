@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanzagraph.functions.columns import quoted
-from stanzagraph.functions.linalg import Moments, completed, deflated, eigen, moments, normalized, solved
+from stanzagraph.functions.linalg import Moments, completed, deflated, eigen, moments, moments_by, normalized, signed, solved
 from stanzagraph.streaming.folders import shared_folder
 
 
@@ -206,14 +206,34 @@ def _generalized(units: Units, r: Generalized, gram: np.ndarray) -> tuple[list[n
 
 def _fitted_effect(units: Units, r: Generalized) -> np.ndarray:
     """The main direction of x's fitted part beside covariates, by an elastic net that doesn't
-    penalize x. Units are read to the driver: covariates are a choice for thousands of units."""
-    from stanzagraph.functions.elasticnet import cross_validated
+    penalize x. Units, in their order, are dealt to ten folds in turn; only sums of each fold
+    reach the driver."""
+    from stanzagraph.functions.elasticnet import cross_validated_moments
+
+    columns = [_number(units, c) for c in [r.x, *r.covariates]]
+    means = units.df.agg(*[F.avg(c) for c in columns]).first()
+    centred = F.array(*[c - F.lit(float(m)) for c, m in zip(columns, means, strict=True)])
+    rows, begins = in_order(units.df, F.concat(centred, F.col("centred")))
+    fold = (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*ORDER)) - 1) % FOLDS
+    e = len(units.edges)
+    parts = moments_by(rows.join(begins, "part"), fold, F.col("value"), len(columns) + e)
+    fit = cross_validated_moments([parts[k] for k in sorted(parts)], len(columns), factors=[0.0, *[1.0] * len(r.covariates)])
+    found = fit.coefficients[0]
+    return signed(normalized(found)[:, None])[:, 0] if found.any() else np.eye(e)[0]
+
+
+#: What units are ordered by, and the folds of a cross-validation.
+ORDER, FOLDS = ["first_seen", "ENA_UNIT"], 10
 
-    rows = units.df.orderBy("first_seen", "ENA_UNIT").select(_number(units, r.x).alias("x"), *[_number(units, c).alias(f"c{i}") for i, c in enumerate(r.covariates)], "centred").toPandas()
-    design = rows.drop(columns="centred").to_numpy(float)
-    y = np.stack(rows["centred"].to_list())
-    fit = cross_validated(design, y, factors=[0.0, *[1.0] * len(r.covariates)])
-    return np.linalg.svd(np.outer(design[:, 0], fit.coefficients[0]), full_matrices=False)[2][0]
+
+def in_order(df: DataFrame, value: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Units with ``value``, dealt by ranges of their order to numbered parts, and how many units lie before each part."""
+    path = f"{shared_folder(df.sparkSession)}/units-{uuid.uuid4().hex}"
+    df.select(*ORDER, value.alias("value")).repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return dealt, sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
 
 def run_codes(df: DataFrame, name: str) -> DataFrame:
@@ -222,14 +242,11 @@ def run_codes(df: DataFrame, name: str) -> DataFrame:
     Units are dealt by ranges of their order. Runs are numbered within each range, and a row
     a range tells where the numbers begin and whether a run goes on from the range before.
     """
-    value, order = quoted(name).cast("string"), ["first_seen", "ENA_UNIT"]
-    path = f"{shared_folder(df.sparkSession)}/runs-{uuid.uuid4().hex}"
-    df.select(*order, value.alias("value")).repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
-    dealt = df.sparkSession.read.parquet(path)
-    inside = Window.partitionBy("part").orderBy(*order)
+    dealt, _ = in_order(df, quoted(name).cast("string"))
+    inside = Window.partitionBy("part").orderBy(*ORDER)
     changed = F.coalesce((F.col("value") != F.lag("value").over(inside)).cast("int"), F.lit(0))
     runs = dealt.withColumn("changed", changed).withColumn("run", F.sum("changed").over(inside))
-    place = F.struct(*order)
+    place = F.struct(*ORDER)
     ends = runs.groupBy("part").agg(F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"), F.sum("changed").alias("changes"))
     w = Window.orderBy("part")  # a row a range
     onward = F.coalesce((F.col("first") != F.lag("last").over(w)).cast("int"), F.lit(0))

@@ -575,11 +575,13 @@ QUERIES["stored_binary_b4"] = Query(_stored, QUERIES["acc_binary_b4"].sql)
 
 
 def _elastic(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficients of places on group and user number, from a table of a row a user; without a penalty they are least squares."""
-    from stanzagraph.functions.elasticnet import elastic_net
+    """Coefficients of places on group and user number; without a penalty they are least squares."""
+    from stanzagraph.functions.elasticnet import net_of_moments
+    from stanzagraph.functions.linalg import moments
 
-    rows = _placed(spark, d).orderBy("user_id").select("parity", "user_id", "x", "y").toPandas().to_numpy(float)
-    found = elastic_net(np.column_stack([rows[:, 0], rows[:, 1]]), rows[:, 2:], 0.0)
+    placed, columns = _placed(spark, d), [F.col(c).cast("double") for c in ("parity", "user_id", "x", "y")]
+    means = placed.agg(*[F.avg(c) for c in columns]).first()
+    found = net_of_moments(moments(placed, F.array(*[c - F.lit(m) for c, m in zip(columns, means, strict=True)]), 4), 2, 0.0)
     return spark.createDataFrame([(i, round(float(a), 6) + 0.0, round(float(b), 6) + 0.0) for i, (a, b) in enumerate(found.coefficients)], "predictor long, x double, y double")
 
 

@@ -166,3 +166,39 @@ def test_runs_are_numbered_over_all_ranges(spark):
             n += 1
         want.append(float(n))
     assert [r.g_f for r in run_codes(df, "g").orderBy("first_seen").collect()] == want
+
+
+def test_elastic_net_meets_its_conditions():
+    """At the least sum the gradient is the penalty along a row that is used, and within it elsewhere."""
+    rng = np.random.default_rng(9)
+    x = np.c_[rng.normal(size=(50, 3)) * [1, 5, 0.2] + [0, 40, 1], np.full(50, 2.0)]
+    y = x[:, :3] @ rng.normal(size=(3, 2)) + rng.normal(size=(50, 2))
+    for penalty, alpha in ((0.4, 1.0), (0.05, 0.5), (0.0, 1.0)):
+        fit = elastic_net(x, y, penalty, alpha)
+        scale = x.std(axis=0)
+        b = fit.coefficients * scale[:, None]
+        left = (x - x.mean(axis=0)) / np.where(scale > 0, scale, 1)
+        gradient = left.T @ (y - fit.intercepts - x @ fit.coefficients) / 50
+        assert fit.coefficients[3] == pytest.approx(0)
+        for j in range(3):
+            norm = np.linalg.norm(b[j])
+            if norm:
+                assert gradient[j] == pytest.approx(penalty * (alpha / norm + 1 - alpha) * b[j], abs=1e-9)
+            else:
+                assert np.linalg.norm(gradient[j]) <= penalty * alpha + 1e-9
+
+
+def test_cross_validation_reads_sums_of_folds(spark):
+    from stanzagraph.functions.rotations import Units, _fitted_effect
+
+    rng = np.random.default_rng(10)
+    group, c = rng.integers(0, 3, 83), rng.normal(size=83) * 3 + 50
+    v = np.outer(group, rng.normal(size=4)) + np.outer(c, rng.normal(size=4)) / 9 + rng.normal(size=(83, 4)) / 2
+    v -= v.mean(axis=0)
+    rows = [(f"u{i % 7}-{i}", i // 2, "abc"[g], float(k), list(map(float, w))) for i, (g, k, w) in enumerate(zip(group, c, v, strict=True))]
+    df = spark.createDataFrame(rows, "ENA_UNIT string, first_seen long, g string, c double, centred array<double>").repartition(5)
+    rows.sort(key=lambda r: (r[1], r[0]))
+    x = np.array([["abc".index(r[2]) + 1, r[3]] for r in rows], float)
+    want = cross_validated(x, np.array([r[4] for r in rows]), factors=[0.0, 1.0]).coefficients[0]
+    got = _fitted_effect(Units(df, list("wxyz")), Generalized("g", covariates=["c"]))
+    assert abs(got @ want) / np.linalg.norm(want) == pytest.approx(1, abs=1e-9) and got[np.argmax(np.abs(got))] > 0
