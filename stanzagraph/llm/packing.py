@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from stanzagraph.llm.common import Bounded, give_back, per_process, pick, slices
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 #: Bytes that a task's ids of chunks, of lower-case words and of signs after them may take.
-REMEMBERED = 80 << 20, 50 << 20, 4 << 20
+REMEMBERED = 24 << 20, 80 << 20, 4 << 20
 
 
 def byte_letters() -> str:
@@ -79,11 +80,13 @@ class WordTokens:
             if not low.isalpha():
                 return None
             spelt = low.encode().decode("latin-1").translate(self.letters)
-        ids = None if low is word else self.words.get(low)
-        if ids is None:
-            got = [t.id for t in self.merges.tokenize(spelt)]
-            ids = struct.pack(f"<{len(got)}I", *got)
-            self.words.keep(low, ids, len(ids))
+        return (None if low is word else self.words.get(low)) or self.merged(low, spelt)
+
+    def merged(self, low: str, spelt: str) -> bytes:
+        """Ids of a lower-case word that isn't known yet, by its letters in the vocabulary's spelling."""
+        got = [t.id for t in self.merges.tokenize(spelt)]
+        ids = struct.pack(f"<{len(got)}I", *got)
+        self.words.keep(low, ids, len(ids))
         return ids
 
     def chunk(self, chunk: str) -> bytes:
@@ -103,11 +106,38 @@ class WordTokens:
         self.chunks.keep(chunk, ids, len(ids))
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.direct(text)
-        known, chunk = self.chunks.get, self.chunk
-        return b"".join([known(c) or chunk(c) for c in text.split()])
+    def different(self, chunks: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of each of some different chunks. ASCII words with at most one sign behind them are taken apart by Arrow."""
+        known, chunk, merged = self.chunks.get, self.chunk, self.merged
+        if self.merges is None:
+            return pa.array([known(c) or chunk(c) for c in chunks.to_pylist()], pa.large_binary())
+        base = pc.utf8_rtrim(chunks, characters=string.punctuation)
+        behind = pc.subtract(pc.binary_length(chunks), pc.binary_length(base))
+        plain = pc.and_(pc.ascii_is_alpha(base), pc.less_equal(behind, 1)).to_numpy(zero_copy_only=False)
+        easy, hard = pa.array(np.flatnonzero(plain)), pa.array(np.flatnonzero(~plain))
+        low = pc.ascii_lower(base.take(easy)).dictionary_encode()
+        known_word = self.words.get
+        words = pa.array([known_word(w) or merged(w, w) for w in low.dictionary.to_pylist()], pa.large_binary())
+        end = pc.if_else(pc.equal(behind.take(easy), 1), pc.utf8_slice_codeunits(chunks.take(easy), -1), "").dictionary_encode()
+        signs = pa.array([self.direct(e) for e in end.dictionary.to_pylist()], pa.large_binary())
+        joined = pc.binary_join_element_wise(words.take(low.indices), signs.take(end.indices), pa.scalar(b"", pa.large_binary()))
+        others = pa.array([known(c) or chunk(c) for c in chunks.take(hard).to_pylist()], pa.large_binary())
+        place = np.empty(len(plain), np.int64)
+        place[plain], place[~plain] = np.arange(len(easy)), len(easy) + np.arange(len(hard))
+        return pa.concat_arrays([joined, others]).take(pa.array(place))
+
+    def encode_all(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text (none null). A chunk is looked up once, however often the texts have it."""
+        odd = pc.match_substring_regex(texts, self.ODD.pattern)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = split.flatten().dictionary_encode()
+        ids = self.different(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.direct(texts[i].as_py())
+        return out
 
     def forget(self) -> None:
         """Free what was remembered: a pool of idle workers would hold as many copies. The tokenizer stays."""
@@ -115,6 +145,14 @@ class WordTokens:
         give_back(keep=True)
 
 
+def readable(texts: pa.Array) -> pa.StringArray:
+    """Bytes as text: null is empty, and what isn't UTF-8 becomes replacement characters."""
+    try:
+        return pc.fill_null(texts.cast(pa.string()), "")
+    except pa.ArrowInvalid:
+        return pa.array([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids, numbered by length within each task."""
 
@@ -128,8 +166,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: in
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()), ("part", pa.int32()), ("local_rank", pa.int64())])
         for some in slices(batches, 1):
             rows: list[tuple] = []
-            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                ids = words.encode((text or b"").decode("utf-8", "replace")) + end
+            for doc_id, ids in zip(some.column(0).to_pylist(), words.encode_all(readable(some.column(1))), strict=True):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, max_tokens)):
                     own = ids[4 * start : 4 * (start + max_tokens)]
                     n = len(own) // 4

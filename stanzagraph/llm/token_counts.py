@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stanzagraph.llm.common import give_back, per_process, pick, shared_dir, slices, staged
-from stanzagraph.llm.packing import WordTokens
+from stanzagraph.llm.packing import WordTokens, readable
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
@@ -32,11 +32,11 @@ def revisions(rows: DataFrame, tokenizer: str, before: str, after: str) -> DataF
     return own.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("long").alias("documents"), change.cast("long").alias("tokens"))
 
 
-def counter(name: str, path: str) -> tuple[Callable[[str], int], Callable[[], None]]:
-    """How a tokenizer's file counts a text, and what a task's end frees: .json of tokenizers, .tiktoken of tiktoken."""
+def counter(name: str, path: str) -> tuple[Callable[[pa.StringArray], list[int]], Callable[[], None]]:
+    """How a tokenizer's file counts texts, and what a task's end frees: .json of tokenizers, .tiktoken of tiktoken."""
     if path.endswith(".json"):
         words = per_process(("words", path), lambda: WordTokens(path))
-        return lambda text: len(words.encode(text)) // 4, words.forget
+        return lambda texts: [len(ids) // 4 for ids in words.encode_all(texts)], words.forget
 
     def ranks():  # noqa: ANN202
         import public_tokenizers
@@ -47,7 +47,7 @@ def counter(name: str, path: str) -> tuple[Callable[[str], int], Callable[[], No
         return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=made, special_tokens={})
 
     encoding = per_process(("ranks", path), ranks)
-    return lambda text: len(encoding.encode_ordinary(text)), lambda: give_back(keep=True)
+    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts.to_pylist()], lambda: give_back(keep=True)
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -67,8 +67,8 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         count = [counter(name, path) for name, path in tokenizers.items()]
         for some in slices(batches, 0):
-            texts = [(t or b"").decode("utf-8", "replace") for t in some.column(0).to_pylist()]
-            counts = [pa.array([of(t) for t in texts], pa.int64()) for of, _ in count]
+            texts = readable(some.column(0))
+            counts = [pa.array(of(texts), pa.int64()) for of, _ in count]
             yield pa.RecordBatch.from_arrays([*some.columns[1:], *counts], names=[*names, *[f"count_{i}" for i in range(len(count))]])
         for _, free in count:
             free()

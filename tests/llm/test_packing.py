@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from stanzagraph.llm.packing import pack, packed_digest, plan_slots
+from stanzagraph.llm.packing import WordTokens, pack, packed_digest, plan_slots, readable
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, "Hello  world,\tit's 12 o'clock", "été \x1c\x1d odd", "<|endoftext|> a<|startoftext|>b", "word " * 9000, "İstanbul ΣΑΣ é", "x" * 500, "same", "same", "Word, WORD. Été! ÀÇ\u0301É;; ǅungla ß ſ x<|endoftext|> isn't I'M 's' (a) a.b 3kg ªº Ω µ Ĳ ŉ \u0130x e\u0301t\u0301 naïve-ly"]
@@ -82,3 +83,20 @@ def test_empty_and_null_ids(spark):
     assert pack(none, PATH).count() == 0
     rows = spark.createDataFrame([(None, "a"), (None, "a"), (1, None)], "doc_id long, text string")
     assert pack(rows, PATH).count() == 3
+
+
+def test_chunks_of_many_texts_match_the_tokenizer():
+    """Any signs, letters of other scripts, white space of all kinds; the same with words remembered or not."""
+    letters = [*map(chr, range(32, 127)), *"éÀßΣİΩ中\u0301\u0149\x1c\t\n\x85\u3000'", "<|endoftext|>", "'s", " word", " THE"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 30, 5000)]
+    words, t = WordTokens(PATH), Tokenizer.from_file(PATH)
+    want = [t_bytes(t, x) for x in texts]
+    for _ in range(2):
+        assert words.encode_all(pa.array(texts)) == want
+    assert words.encode_all(pa.array([], pa.string())) == [] and words.encode_all(pa.array(["", " \n"])) == [b"", b""]
+    assert words.encode_all(readable(pa.array([None, b"a\xffb", "é".encode()]))) == [t_bytes(t, x) for x in ("", "a\ufffdb", "é")]
+
+
+def t_bytes(tokenizer, text):
+    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
