@@ -62,22 +62,28 @@ def co_occurrences(values: Sequence[Column], binary: bool = True) -> list[Column
     return [F.when(x > 0, 1.0).otherwise(0.0) if binary else x for x in upper_triangle(values)]
 
 
+def _scale(columns: Sequence[Column]) -> Column:
+    """The power of two at or just below the largest entry's size; 0 if all are 0."""
+    top = F.greatest(*[F.abs(c) for c in columns]) if len(columns) > 1 else F.abs(columns[0])
+    return F.when(top == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.least(F.floor(F.log2(top)), F.lit(1023)).cast("double")))
+
+
 def sphere_norm(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
     """``df`` with helper columns, and its columns ``names`` on the unit sphere of their row.
 
-    A zero row stays zero. Rows are scaled by their largest entry, so that no square
-    overflows. Scale and norm are columns of their own: inlined, the expression would grow
-    with the square of the edges and leave generated code.
+    A zero row stays zero. Rows are scaled by a power of two near their largest entry, so that
+    no square overflows and no scaling rounds: 3 over the norm 10 is 0.3. Scale and norm are
+    columns of their own: inlined, the expression would grow with the square of the edges and
+    leave generated code.
     """
     columns = [quoted(n) for n in names]
-    top = F.greatest(*[F.abs(c) for c in columns]) if len(columns) > 1 else F.abs(columns[0])
-    scaled = df.withColumn("__top", top)
+    scaled = df.withColumn("__top", _scale(columns))
     scaled = scaled.withColumn("__norm", F.sqrt(total([F.try_divide(c, F.col("__top")) * F.try_divide(c, F.col("__top")) for c in columns])))
     return scaled, [F.when(F.col("__top") == 0, F.lit(0.0)).otherwise(c / F.col("__top") / F.col("__norm")) for c in columns]
 
 
 def l2_norm(columns: Sequence[Column]) -> Column:
-    top = F.greatest(*[F.abs(c) for c in columns]) if len(columns) > 1 else F.abs(columns[0])
+    top = _scale(columns)
     return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(total([F.try_divide(c, top) * F.try_divide(c, top) for c in columns])))
 
 

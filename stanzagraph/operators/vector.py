@@ -105,7 +105,8 @@ def row_cells(named: DataFrame, spec: AccumulateSpec, by: list[Column], codes: l
 def lines_of(counts: DataFrame, names: list[str], centre: np.ndarray | None = None, align: bool = True) -> DataFrame:
     """``counts`` with arrays instead of the edge columns: lines (the row on the unit sphere) and __signal, or with a ``centre`` centred.
 
-    Rows are scaled by their largest entry, so that no square overflows; a zero row stays zero.
+    Rows are scaled by a power of two near their largest entry, so that no square overflows
+    and no scaling rounds; a zero row stays zero.
     """
     keep = [f for f in counts.schema.fields if f.name not in names]
     width = len(names)
@@ -115,7 +116,7 @@ def lines_of(counts: DataFrame, names: list[str], centre: np.ndarray | None = No
             x = b.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             signal = x.sum(axis=1) != 0 if align else np.ones(len(x), bool)
             top = np.abs(x).max(axis=1, initial=0, keepdims=True)
-            scaled = x / np.where(top > 0, top, 1)
+            scaled = np.ldexp(x, 1 - np.frexp(top)[1])
             norm = np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
             lines = scaled / np.where(norm > 0, norm, 1)
             offsets = pa.array(np.arange(0, (len(x) + 1) * width, width, dtype=np.int32))

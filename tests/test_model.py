@@ -202,3 +202,13 @@ def test_cross_validation_reads_sums_of_folds(spark):
     want = cross_validated(x, np.array([r[4] for r in rows]), factors=[0.0, 1.0]).coefficients[0]
     got = _fitted_effect(Units(df, list("wxyz")), Generalized("g", covariates=["c"]))
     assert abs(got @ want) / np.linalg.norm(want) == pytest.approx(1, abs=1e-9) and got[np.argmax(np.abs(got))] > 0
+
+
+def test_a_weight_at_the_threshold_is_not_beyond_it(spark):
+    rows = [(f"u{k}", *[float(k * x) for x in v]) for k in (1, 3, 5, 7) for v in ([3, 7, 5, 4, 1, 0], [3, 9, 3, 1, 0, 0], [3, 6, 6, 4, 1, 1], [0, 3, 8, 5, 1, 1])]
+    names = [e.name for e in SPEC.edges()]
+    counts = spark.createDataFrame(rows, ["ENA_UNIT", *names])
+    got = sorted((r[0], r[3]) for r in network_edges(line_weights(counts, names), SPEC.edges(), 0.3).collect())
+    want = [(u, c / np.sqrt(sum(x * x for x in v))) for u, *v in rows for c in v]
+    assert got == sorted((u, w) for u, w in want if abs(w) > 0.3)
+    assert 0.3 in [w for _, w in want]
