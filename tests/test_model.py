@@ -204,6 +204,29 @@ def test_cross_validation_reads_sums_of_folds(spark):
     assert abs(got @ want) / np.linalg.norm(want) == pytest.approx(1, abs=1e-9) and got[np.argmax(np.abs(got))] > 0
 
 
+@pytest.mark.parametrize("places", [0, 40])
+def test_rank_correlation_of_many_units_at_few_places(spark, monkeypatch, places):
+    rng = np.random.default_rng(5)
+    spots = rng.integers(0, 9, (30, 2)) / 4
+    x, y = spots[rng.integers(0, 30, 90)].T
+    a, b = np.triu_indices(90, 1)
+    want = float(np.corrcoef(stats.ranks(x[a] - x[b]), stats.ranks(y[a] - y[b]))[0, 1])
+    monkeypatch.setattr(stats, "PLACES_ON_DRIVER", places)
+    monkeypatch.setattr(stats, "PAIRS_ON_DRIVER", 0)
+    asked = []
+    many = stats._spearman_of_many
+    monkeypatch.setattr(stats, "_spearman_of_many", lambda *args: asked.append(1) or many(*args))
+    assert stats.pair_spearman(spark, x, y) == pytest.approx(want, abs=1e-12)
+    assert len(asked) == (places == 0)
+
+
+def test_pearson_alone_ranks_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(stats, "pair_spearman", lambda *_: pytest.fail("pairs are ranked"))
+    points = spark.createDataFrame([(f"u{i}", i, float(i * i % 7)) for i in range(9)], "ENA_UNIT string, o long, d double")
+    found = stats.correlations(points, points.select(F.col("ENA_UNIT").alias("unit"), "d"), ["d"], order="o", kinds=("pearson",))
+    assert found[0]["pearson"] == pytest.approx(1) and found[0]["pairs"] == 36 and "spearman" not in found[0]
+
+
 def test_a_weight_at_the_threshold_is_not_beyond_it(spark):
     rows = [(f"u{k}", *[float(k * x) for x in v]) for k in (1, 3, 5, 7) for v in ([3, 7, 5, 4, 1, 0], [3, 9, 3, 1, 0, 0], [3, 6, 6, 4, 1, 1], [0, 3, 8, 5, 1, 1])]
     names = [e.name for e in SPEC.edges()]
