@@ -21,6 +21,12 @@ from stanzagraph.operators.accumulate import counted, ordering, unit_metadata, u
 from stanzagraph.spec import AccumulateSpec
 
 
+#: Parts of all conversations whose states are kept together; fixed, since states are found by them.
+BUCKETS = 1024
+#: Rows whose cells are made at once.
+ROWS = 20_000
+
+
 def _coded(rows: DataFrame, spec: AccumulateSpec) -> tuple[DataFrame, list[str]]:
     """The columns of ``rows`` that are needed, ENA_UNIT, and the codes as __c0, __c1 and so on."""
     spec.check(rows)
@@ -34,65 +40,126 @@ def _coded(rows: DataFrame, spec: AccumulateSpec) -> tuple[DataFrame, list[str]]
 def stream_rows(rows: DataFrame, spec: AccumulateSpec) -> DataFrame:
     """Cells of a stream's rows in moving windows, conversation by conversation.
 
-    State holds the rows that windows still reach and the last order key; where ``back`` has
-    no bound a sum takes the place of earlier rows, where ``forward`` has none all rows stay.
+    Conversations are dealt to BUCKETS by hash and a bucket's go through the windows together,
+    in blocks, so that a call is paid for many conversations and a long one costs the memory
+    of its rows, not of their cells. State holds the rows that windows still reach, at least a
+    conversation's last, which has its last order key; where ``back`` has no bound a sum takes
+    the place of earlier rows, where ``forward`` has none all rows stay.
     A row whose forward rows haven't all come is given with what there is and given again
     with a higher __version; its last version counts, so a stream that ends needs no flush.
     Micro-batches are sorted by the order key. A row that isn't behind all earlier ones of
     its conversation is late: it changes no cell, and __late tells at once, in a row of its
     own, how many there were. Null order keys come first.
     """
-    named, _ = _coded(rows, spec)
-    p, edges = len(spec.codes), spec.edges()
-    cells = [f"__cell{k}" for k in range(len(edges))]
-    out = T.StructType([T.StructField(f.name, f.dataType) for f in named.schema if not f.name.startswith("__c")] + [T.StructField(c, T.DoubleType()) for c in cells] + [T.StructField("__version", T.LongType()), T.StructField("__late", T.LongType())])
-    order, codes, back, forward, ordered = list(spec.order_by), [f"__c{i}" for i in range(p)], spec.back, spec.forward, spec.network == "ordered"
-    conversation = list(spec.conversation)
+    named, keep = _coded(rows, spec)
+    kinds = dict(rows.dtypes)
+    edges, conversation, order = spec.edges(), list(spec.conversation), list(spec.order_by)
+    cells, codes = [f"__cell{k}" for k in range(len(edges))], [f"__c{i}" for i in range(len(spec.codes))]
+    kept = [f for f in named.schema if f.name in keep]
+    # pandas would make doubles of whole numbers beside nulls, so nulls are told by a column of their own
+    nulls = {f.name: f"__null{i}" for i, f in enumerate(kept) if isinstance(f.dataType, T.LongType)}
+    out = T.StructType([*kept, *[T.StructField(c, T.BooleanType()) for c in nulls.values()], *[T.StructField(c, T.DoubleType()) for c in cells], T.StructField("__version", T.LongType()), T.StructField("__late", T.LongType())])
+    shown = [f.name for f in out]
+    back, forward, ordered = spec.back, spec.forward, spec.network == "ordered"
+    most = None if forward is None else max(1, forward + (max(back, 1) - 1 if back is not None else 0))  # rows of a conversation that stay
+
+    def made(c: np.ndarray, run: np.ndarray, carry: list | None = None) -> np.ndarray:
+        if ordered:
+            return ordered_row_cells(c, run, edges, back, carry)
+        return stanza_cells(c, run, edges, back, forward, None if carry is None else np.asarray([math.fsum(x) for x in carry]))
+
+    def blocks(c: np.ndarray, run: np.ndarray, carries: dict, names: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The cells of all rows, in turn, with where they begin and end."""
+        n = len(c)
+        if back is None:  # each conversation has its own sum before it
+            ends = np.flatnonzero(np.r_[run[1:] != run[:-1], True]) + 1
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                yield lo, hi, made(c[lo:hi], run[lo:hi], carries.get(names[lo]))
+        elif forward is None:
+            yield 0, n, made(c, run)
+        else:
+            for lo in range(0, n, ROWS):
+                hi, begin = min(n, lo + ROWS), max(0, lo - max(back, 1) + 1)
+                end = min(n, hi + forward + 1)
+                yield lo, hi, made(c[begin:end], run[begin:end])[lo - begin : hi - begin]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last, version, late, carry = pickle.loads(state.get[0]) if state.exists else (None, None, 0, 0, None)
-        new = pd.concat(list(parts), ignore_index=True)
-        keys = [tuple((not pd.isna(v), None if pd.isna(v) else v) for v in k) for k in zip(*(new[c] for c in order), strict=True)]
-        place = sorted(range(len(keys)), key=keys.__getitem__)
-        on_time = []
-        for i in place:
-            if last is None or keys[i] > last:
-                last = keys[i]
-                on_time.append(i)
-        missed = len(place) - len(on_time)
-        if missed:
-            late += missed
-            mark = pd.DataFrame([{c: k for c, k in zip(conversation, key, strict=True)} | {"__version": -1, "__late": late}])
-            yield mark.reindex(columns=[f.name for f in out])
-        if on_time:
-            waiting = 0 if held is None else len(held) if forward is None else min(forward, len(held))
-            since = 0 if held is None else len(held) - waiting
-            rows = new.iloc[on_time] if held is None else pd.concat([held, new.iloc[on_time]])
-            rows, version = rows.reset_index(drop=True), version + 1
-            c, one = rows[codes].to_numpy(float), np.zeros(len(rows), int)
-            if ordered:
-                made = ordered_row_cells(c, one, edges, back, carry)
-            else:
-                made = stanza_cells(c, one, edges, back, forward, None if carry is None else np.asarray([math.fsum(x) for x in carry]))
-            told = rows.iloc[since:].drop(columns=codes).reset_index(drop=True)
-            told[cells] = made[since:]
-            told["__version"], told["__late"] = version, late
-            yield told[[f.name for f in out]]
-            if forward is not None:
-                gone = max(0, len(rows) - forward - (max(back, 1) - 1 if back is not None else 0))
-                if back is None:
-                    carry = [[] for _ in codes] if carry is None else carry
-                    for row in c[:gone].tolist():
-                        for x, v in zip(carry, row, strict=True):
-                            expand(x, v) if ordered else x.__setitem__(slice(None), [(x[0] if x else 0.0) + v])
-                rows = rows.iloc[gone:].reset_index(drop=True)
-            held = rows
-        state.update((pickle.dumps((held, last, version, late, carry)),))
-
-    grouped = named.groupBy(*[quoted(c) for c in spec.conversation])
-    made = grouped.applyInPandasWithState(run, out, T.StructType([T.StructField("kept", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
+        held, version, carries = pickle.loads(state.get[0]) if state.exists else (None, 0, {})
+        both = list(parts)
+        rows = pd.concat(both if held is None else [held, *both], ignore_index=True)
+        del both
+        old, version = 0 if held is None else len(held), version + 1
+        conv = pd.factorize(rows["__conv"])[0]
+        # sorted by conversation and order key, with earlier rows first among equals; null keys are -1
+        ranks = [r for c in order for r in ([~rows[nulls[c]].to_numpy(bool)] if c in nulls else []) + [pd.factorize(rows[c], sort=True)[0]]]
+        by = np.lexsort((np.arange(len(rows)), *ranks[::-1], conv))
+        new = by >= old
+        same = np.ones(len(by), bool)
+        same[:1] = False
+        for r in (conv, *ranks):
+            same[1:] &= r[by][1:] == r[by][:-1]
+        # late: not behind the conversation's held rows, or equal to the row before
+        group = conv[by]
+        last_held = np.full(conv.max() + 1, -1)
+        np.maximum.at(last_held, group[~new], np.flatnonzero(~new))
+        late = new & (same | (np.arange(len(by)) < last_held[group]))
+        rows = rows.iloc[by]
+        missed = np.bincount(group[late], minlength=len(last_held))
+        told_late = np.zeros(len(last_held), np.int64)
+        np.maximum.at(told_late, group[~new], rows["__late"].to_numpy()[~new].astype(np.int64))
+        told_late += missed
+        if late.any():
+            first = np.unique(group[late], return_index=True)[1]
+            marks = rows[late].iloc[first][[*conversation, *nulls.values()]].assign(__version=-1, __late=told_late[group[late][first]])
+            blank = [c for c in nulls if c not in conversation]
+            yield marks.assign(**{nulls[c]: True for c in blank}).reindex(columns=shown).fillna({c: 0 for c in blank})
+        rows, new, group = rows[~late].reset_index(drop=True), new[~late], group[~late]
+        rows["__late"] = told_late[group]
+        n, size = len(rows), np.bincount(group, minlength=len(last_held))
+        fresh = np.bincount(group[new], minlength=len(last_held))
+        left = np.cumsum(size)[group] - 1 - np.arange(n)  # rows of the conversation behind each
+        waits = left - fresh[group] < (n if forward is None else forward)
+        give = (fresh[group] > 0) & (new | waits)
+        c, names = rows[codes].to_numpy(float), rows["__conv"].to_numpy()
+        plain = rows[[*(f.name for f in kept), *nulls.values()]]
+        for lo, hi, x in blocks(c, group, carries, names):
+            of = np.flatnonzero(give[lo:hi])
+            for a in range(0, len(of), ROWS):
+                some = of[a : a + ROWS]
+                told = plain.iloc[lo + some].reset_index(drop=True)
+                told = pd.concat([told, pd.DataFrame(x[some], columns=cells)], axis=1)
+                yield told.assign(__version=version, __late=told_late[group[lo + some]])
+        stay = np.ones(n, bool) if most is None else left < most
+        if back is None and most is not None:
+            for i in np.flatnonzero(~stay).tolist():
+                carry = carries.setdefault(names[i], [[] for _ in codes])
+                for s, v in zip(carry, c[i].tolist(), strict=True):
+                    expand(s, v) if ordered else s.__setitem__(slice(None), [(s[0] if s else 0.0) + v])
+        state.update((pickle.dumps((rows[stay].reset_index(drop=True), version, carries)),))
+
+    dealt = named.drop("ENA_UNIT").withColumns({"__conv": _key(conversation, kinds), "__late": F.lit(0).cast("long")})
+    dealt = dealt.withColumns({flag: quoted(c).isNull() for c, flag in nulls.items()})
+    dealt = dealt.withColumns({c: F.coalesce(quoted(c), F.lit(0).cast("long")) for c in nulls} | {"__bucket": F.pmod(F.xxhash64("__conv"), F.lit(BUCKETS))})
+    result = dealt.groupBy("__bucket").applyInPandasWithState(run, out, T.StructType([T.StructField("kept", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
     final = [weighted(F.col(c), f, spec.weighting).alias(e.name) for c, f, e in zip(cells, spec.factors(), edges, strict=True)]
-    return made.select(*[quoted(f.name) for f in out if f.name not in cells], *final)
+    result = result.withColumns({c: F.when(~F.col(flag), quoted(c)) for c, flag in nulls.items()})
+    return result.select(*[quoted(f.name) for f in kept], label(spec.units, kinds).alias("ENA_UNIT"), "__version", "__late", *final)
+
+
+def _key(names: list[str], kinds: dict[str, str]) -> Column:
+    """One text for equal keys: columns' texts with their lengths, so that none run together; null is a text of its own."""
+    def text(name: str) -> Column:
+        c = quoted(name)
+        if kinds[name] in ("double", "float"):
+            c = c + F.lit(0.0).cast(kinds[name])  # no negative zero
+        elif kinds[name].startswith("timestamp"):
+            c = F.unix_micros(c) if kinds[name] == "timestamp" else c
+        elif kinds[name] == "binary":
+            c = F.hex(c)
+        s = c.cast("string")
+        return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
+
+    return F.concat(*[text(n) for n in names])
 
 
 class AccumulationStream:

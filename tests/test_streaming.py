@@ -119,3 +119,25 @@ def test_chunked(spark, tmp_path):
     session.dispose()
     with pytest.raises(ValueError):
         accumulate_chunked(df, spec, f"file://{tmp_path}", 0)
+
+
+@pytest.mark.parametrize("more", [dict(back=3, forward=2), dict(back=None, forward=1), dict(back=3, network="ordered")])
+def test_conversations_of_one_bucket_keep_apart(spark, tmp_path, monkeypatch, more):
+    from stanzagraph.streaming import accumulate as module
+
+    monkeypatch.setattr(module, "BUCKETS", 1)
+    monkeypatch.setattr(module, "ROWS", 5)
+    spec = AccumulateSpec(["u"], ["conv", "u"], ["A", "B", "C"], ["seq"], weight="sum", **more)
+    df, stream = streamed(spark, tmp_path, made(), spec, [7, 9, 30])
+    assert told(stream.finish(), spec) == told(accumulate(df, spec).counts, spec)
+
+
+def test_whole_numbers_beside_nulls_stay_whole(spark, tmp_path):
+    big = 2**60
+    rows = [(big + i if i else None, big + i % 2 if i % 5 else None, 1.0, float(i % 2), 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "seq long, u long, A double, B double, C double").coalesce(1)
+    df.write.parquet(f"{tmp_path}/in")
+    spec = AccumulateSpec(["u"], ["u"], ["A", "B", "C"], ["seq"], back=2)
+    stream = AccumulationStream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), spec, f"{tmp_path}/out").start()
+    counts = lambda c: sorted(map(str, c.select("u", *[f"`{e.name}`" for e in spec.edges()]).collect()))
+    assert counts(stream.finish()) == counts(accumulate(df, spec).counts)
