@@ -322,8 +322,31 @@ def accumulate_chunked(df: DataFrame, spec: AccumulateSpec, folder: str, chunks:
     """``df`` in ``chunks`` parts, in the order of its rows, through a session; its counts are finish()ed by the caller."""
     if chunks < 1:
         raise ValueError("chunks: a whole number from 1")
-    parts = df.withColumn("__part", F.ntile(chunks).over(Window.orderBy(*[quoted(c) for c in spec.order_by]))) if chunks > 1 else df.withColumn("__part", F.lit(1))
-    session = AccumulationSession(df.sparkSession, df.schema, spec, folder, df.count(), on_progress)
-    for k in range(1, chunks + 1):
-        session.push(parts.filter(F.col("__part") == k).drop("__part"))
+    session = AccumulationSession(df.sparkSession, df.schema, spec, folder, None, on_progress)
+    try:
+        # rows are dealt by range, sorted and written once; what stands before each range then numbers them
+        dealt = df.repartitionByRange(*[quoted(c) for c in spec.order_by]).sortWithinPartitions(*[quoted(c) for c in spec.order_by]) if chunks > 1 else df
+        path = f"{session.folder}/dealt"
+        placed = dealt.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(2**33 - 1)})
+        placed.write.parquet(path)
+        rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+        sizes = dict(rows.groupBy("__range").count().collect())
+        n = session.expected_rows = sum(sizes.values())
+
+        def before(place: int) -> Column:
+            """Rows before the ``place``-th."""
+            for r in sorted(sizes):
+                if place < sizes[r]:
+                    return (F.col("__range") < r) | (F.col("__range") == r) & (F.col("__place") < place)
+                place -= sizes[r]
+            return F.lit(True)
+
+        done = 0
+        for k in range(chunks):
+            end = done + n // chunks + (k < n % chunks)
+            session.push(rows.filter(before(end) & ~before(done)).select(*[quoted(c) for c in df.columns]))
+            done = end
+    except Exception:
+        session.dispose()
+        raise
     return session

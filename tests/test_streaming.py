@@ -141,3 +141,18 @@ def test_whole_numbers_beside_nulls_stay_whole(spark, tmp_path):
     stream = AccumulationStream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), spec, f"{tmp_path}/out").start()
     counts = lambda c: sorted(map(str, c.select("u", *[f"`{e.name}`" for e in spec.edges()]).collect()))
     assert counts(stream.finish()) == counts(accumulate(df, spec).counts)
+
+
+@pytest.mark.parametrize("n,chunks", [(11, 4), (2, 3)])
+def test_chunks_are_numbered_without_one_task_for_all_rows(spark, tmp_path, capfd, n, chunks):
+    df = spark.createDataFrame(made(15)[:n], NAMES).repartition(3)
+    spec = AccumulateSpec(["u"], ["conv"], ["A", "B", "C"], ["seq"], back=3)
+    seen = []
+    spark.sparkContext.setLogLevel("WARN")
+    session = accumulate_chunked(df, spec, f"file://{tmp_path}", chunks, lambda p, s: seen.append(s.rows_seen))
+    spark.sparkContext.setLogLevel("ERROR")
+    assert seen == ([3, 6, 9, 11] if n == 11 else [1, 2, 2])
+    assert "No Partition Defined for Window" not in "".join(capfd.readouterr())
+    assert told(session.finish(), spec) == told(accumulate(df, spec).counts, spec)
+    session.dispose()
+    assert not list(tmp_path.iterdir())
